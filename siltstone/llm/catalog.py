@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from .encoding import encode_texts
+from .fusion import leximin_top
+from .mixture import mixing_plan, reached_shares, sized_documents
 from .neighbours import nearest_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +31,45 @@ def query(sql: str | None = None):
 @query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_pairs(table(spark, sf_dir, "embedding_matrices"))
+
+
+@query(
+    """
+WITH legs AS (SELECT leg, bool_or(higher_is_better) AS up FROM score_legs GROUP BY 1),
+best AS (
+  SELECT query_id, doc_num_id, leg,
+         max(CASE WHEN score IS NULL OR isnan(score) THEN NULL WHEN up THEN score ELSE -score END) AS s
+  FROM search_results JOIN legs USING (leg)
+  WHERE query_id IS NOT NULL AND doc_num_id IS NOT NULL GROUP BY 1, 2, 3),
+docs AS (SELECT DISTINCT query_id, doc_num_id FROM best),
+cells AS (
+  SELECT d.query_id, d.doc_num_id, l.leg,
+         coalesce(s, min(s) OVER (PARTITION BY d.query_id, l.leg)) AS s
+  FROM docs d CROSS JOIN legs l LEFT JOIN best b
+    ON b.query_id = d.query_id AND b.doc_num_id = d.doc_num_id AND b.leg = l.leg),
+placed AS (
+  SELECT query_id, doc_num_id,
+         rank() OVER (PARTITION BY query_id, leg ORDER BY s) - 1 AS standing FROM cells),
+vectors AS (SELECT query_id, doc_num_id, list(standing ORDER BY standing) AS v FROM placed GROUP BY 1, 2)
+SELECT query_id, doc_num_id FROM vectors
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, doc_num_id) <= 3
+"""
+)
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leximin_top(table(spark, sf_dir, "search_results"), table(spark, sf_dir, "score_legs"), 3).drop("place")
+
+
+@query()
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing_plan(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return plan.where("NOT reachable").select("source")
+
+
+@query()
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_shares(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
