@@ -10,6 +10,7 @@ from ..runtime import table
 from .encoding import encode_texts
 from .fusion import leximin_top
 from .mixture import mixing_plan, reached_shares, sized_documents
+from .near_duplicates import groups, similar_pairs
 from .neighbours import nearest_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,16 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "document_responses"), "doc_num_id", "content")
+
+
+@query()
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(table(spark, sf_dir, "document_responses"), "doc_num_id", "content")
+
+
 @query()
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_pairs(table(spark, sf_dir, "embedding_matrices"))
