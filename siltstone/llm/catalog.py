@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from .documented_functions import documented_functions
 from .encoding import encode_texts
 from .fusion import leximin_top
 from .mixture import mixing_plan, reached_shares, sized_documents
@@ -29,6 +30,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = documented_functions(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "rust_items"))
+    return pairs.select("crate_name", "crate_version", "qualified_path").distinct()
+
+
 @query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "document_responses"), "doc_num_id", "content")
