@@ -10,6 +10,7 @@ from ..runtime import table
 from .documented_functions import documented_functions
 from .encoding import encode_texts
 from .fusion import leximin_top
+from .markup import structure
 from .mixture import mixing_plan, reached_shares, sized_documents
 from .near_duplicates import groups, similar_pairs
 from .neighbours import nearest_pairs
@@ -77,6 +78,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin_top(table(spark, sf_dir, "search_results"), table(spark, sf_dir, "score_legs"), 3).drop("place")
 
 
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = structure(table(spark, sf_dir, "document_responses"), "document_responses", "doc_num_id", "content")
+    items = structure(table(spark, sf_dir, "rust_items"), "rust_items", "item_id", "doc_markdown")
+    return docs.unionByName(items)
+
+
 @query()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
