@@ -567,7 +567,7 @@ _HTML_START = re.compile(r"<(?:!doctype|html|head|body|h[1-6]|p|ul|ol|div|table|
 _LATEX_MARK = re.compile(
     r"\\(?:documentclass|begin\{(?:document|itemize|enumerate|verbatim|lstlisting|equation|align|gather)\*?\}|(?:sub)*section\*?\{|paragraph\*?\{|(?:emph|textbf|textit|texttt|href)\{)|\\textless\{\}"
 )
-_WIKI_MARK = re.compile(r"^={1,6}[ \t][^\n]*[^=\s][ \t]+={1,6}[ \t]*$|\[\[[^\[\]\n]+\]\]|'''|<(?:math|ref|syntaxhighlight|nowiki)\b|^\{\{|^<pre>|^\*\* |^#{2,}[ \t][^\n]*\n#", re.M)
+_WIKI_MARK = re.compile(r"^={1,6}[ \t][^\n]*[^=\s][ \t]+={1,6}[ \t]*$|\[\[[^\[\]\n]+\]\]|'''|<(?:math|ref|syntaxhighlight|nowiki)\b|^\{\{|^<pre>|^\*\* |^#[ \t][^\n]*\n#+[ \t]", re.M)
 _MARKDOWN_MARK = re.compile(r"^(?:`{3,}|~{3,})|\]\(|\]\[\d|\*\*\w|^\$\$[ \t]*$|^[^\n]+\n(?:={3,}|-{3,})[ \t]*$|^\\\[", re.M)
 _ANY_FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})[^`\n]*\n.*?(?:^ {0,3}\2[`~]*[ \t]*$|\Z)", re.S | re.M)
 
