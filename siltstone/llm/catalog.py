@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
+from .abuse import abusive, rates
 from .documented_functions import documented_functions
 from .encoding import encode_texts
 from .fusion import leximin_top
@@ -99,3 +100,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abusive(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(table(spark, sf_dir, "documents"))
