@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_data, catalog_search, catalog_text  # noqa: F401  (they register their queries)
 from .operators.merkle import merkle_diff
 from .plans.incremental import replay_sync_runs
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .runtime import table
 
 FLAGSHIP = "p1_found"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
 
 
 @query(
