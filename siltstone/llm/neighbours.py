@@ -25,12 +25,13 @@ MAX_LISTS = 8_192
 VECTORS_PER_LIST = 160
 SAMPLE_PER_LIST = 16
 MAX_REPLICAS = 3
-RATIO = 1.25
-GRAPH_DEGREE = 12
+RATIO = 1.35
+GRAPH_DEGREE = 16
 #: Lists longer than this are split before their members are compared.
 SPLIT_ABOVE = 6_144
-SCALE = 32_767
-STEPS = 100_000  # scores are compared in steps of 1e-5
+SCALE = (1 << 23) - 1  # vectors travel as 24-bit fixed-point numbers
+COARSE = 1 << 8  # copies are told by the upper 16 bits, so rounding doesn't part them
+STEPS = 1_000_000  # scores are compared in steps of 1e-6
 
 
 def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +59,24 @@ def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _quantize(x: np.ndarray) -> np.ndarray:
-    return np.rint(x * SCALE).astype(np.int16)
+    return np.rint(x.astype(np.float64) * SCALE).astype(np.int32)
+
+
+def _pack(q: np.ndarray) -> bytes:
+    return np.ascontiguousarray(q.astype("<i4").view(np.uint8).reshape(-1, DIM, 4)[:, :, :3]).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, DIM, 3).astype(np.int32)
+    q = b[:, :, 0] | (b[:, :, 1] << 8) | (b[:, :, 2] << 16)
+    return np.where(q >= 1 << 23, q - (1 << 24), q).astype(np.int32)
 
 
 def _key(q: np.ndarray) -> np.ndarray:
     """64-bit key of quantized vectors: equal for copies, whatever their length."""
     a = np.random.default_rng(7).integers(-(1 << 62), 1 << 62, DIM, dtype=np.int64) | 1
     with np.errstate(over="ignore"):
-        h = (q.astype(np.int64) * a).sum(axis=1)
+        h = (((q.astype(np.int64) + COARSE // 2) // COARSE) * a).sum(axis=1)
         h ^= (h >> 29) & 0x7FFFFFFFF
         return h * np.int64(-4658895280553007687)
 
@@ -110,9 +121,9 @@ class CentroidGraph:
             s = centroids[at : at + 1024] @ centroids.T
             self.links[at : at + 1024] = np.argpartition(-s, d - 1, axis=1)[:, :d]
         # entries: an evenly thinned set of centroids (they are stored cell by cell)
-        self.entry = np.unique(np.linspace(0, k - 1, min(k, 2 * int(np.sqrt(k)) + 1)).astype(np.int32))
+        self.entry = np.unique(np.linspace(0, k - 1, min(k, 4 * int(np.sqrt(k)) + 1)).astype(np.int32))
 
-    def search(self, x: np.ndarray, want: int, beam: int = 8, hops: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, x: np.ndarray, want: int, beam: int = 12, hops: int = 7) -> tuple[np.ndarray, np.ndarray]:
         """The `want` nearest centroids of each row and their cosines, best first."""
         rows = np.arange(len(x))[:, None]
         s = x @ self.c[self.entry].T
@@ -235,7 +246,7 @@ def _rows_of(arr: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 LISTED = pa.schema([("bin", pa.int32()), ("list", pa.int32()), ("key", pa.int64()), ("q", pa.binary()), ("ids", pa.list_(pa.int64()))])
-FOUND = pa.schema([("key", pa.int64()), ("own", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("negs", pa.list_(pa.int64()))])
+FOUND = pa.schema([("key", pa.int64()), ("own", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("negs", pa.list_(pa.int32()))])
 LISTS_PER_BIN = 16
 
 
@@ -273,7 +284,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
             for at in range(0, len(u), 2048):
                 row, lst = choose_lists(graph, x[at : at + 2048])
                 row = row + at
-                raw = q[row].tobytes()
+                raw = _pack(q[row])
                 w = np.diff(offs)[row]
                 pick = np.repeat(offs[:-1][row] - (np.cumsum(w) - w), w) + np.arange(w.sum())
                 yield pa.RecordBatch.from_arrays(
@@ -281,7 +292,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
                         pa.array((lst // LISTS_PER_BIN).astype(np.int32)),
                         pa.array(lst.astype(np.int32)),
                         pa.array(u[row]),
-                        pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 2 * DIM * (len(row) + 1), 2 * DIM, dtype=np.int32)), pa.py_buffer(raw)]),
+                        pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 3 * DIM * (len(row) + 1), 3 * DIM, dtype=np.int32)), pa.py_buffer(raw)]),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(w)).astype(np.int32)), pa.array(flat[pick])),
                     ],
                     schema=LISTED,
@@ -290,8 +301,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
     def search(tbl: pa.Table) -> pa.Table:
         lst = np.asarray(tbl.column("list").combine_chunks())
         keys = np.asarray(tbl.column("key").combine_chunks())
-        buf = b"".join(tbl.column("q").combine_chunks().to_pylist())
-        q = np.frombuffer(buf, np.int16).reshape(-1, DIM)
+        q = _unpack(b"".join(tbl.column("q").combine_chunks().to_pylist()))
         flat, n = _rows_of(tbl.column("ids"))
         owner = np.repeat(np.arange(len(keys)), n)
         parts = []
@@ -311,7 +321,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
                             pa.array(k),
                             pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(w)).astype(np.int32)), pa.array(own)),
                             pa.ListArray.from_arrays(ends, pa.array(who)),
-                            pa.ListArray.from_arrays(ends, pa.array(neg)),
+                            pa.ListArray.from_arrays(ends, pa.array(neg.astype(np.int32))),
                         ],
                         schema=FOUND,
                     )
@@ -319,7 +329,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
         return pa.Table.from_batches(parts, FOUND)
 
     listed = src.mapInArrow(assign, "bin int, list int, key bigint, q binary, ids array<bigint>")
-    found = listed.groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<bigint>")
+    found = listed.groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<int>")
     best = (
         found.groupBy("key")
         .agg(
@@ -345,7 +355,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
         F.explode(
             F.expr(
                 f"""slice(array_sort(concat(
-                      transform(filter(own, o -> o <> vec), o -> named_struct('negs', {-STEPS}L, 'ids', o)),
+                      transform(filter(own, o -> o <> vec), o -> named_struct('negs', {-STEPS}, 'ids', o)),
                       near)), 1, {K_NEAREST})"""
             )
         ).alias("n"),
