@@ -82,7 +82,8 @@ _LOOKALIKE = str.maketrans(
 _SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "+": "t"})
 _INVISIBLE = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _MOJIBAKE = re.compile("[ÃÂ][\u0080-¿Œ-™]")
-_APART = re.compile(r"(?<![^\W_])([^\W\d_])(?:([ .\-_*])[^\W_])(?:\2[^\W_])+\2?(?![^\W_])")
+_APART = re.compile(r"(?<![^\W_])([^\W\d_])(?:([.\-_*])[^\W_])(?:\2[^\W_])+\2?(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){2,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\s\"“”„«»()\[\]{}<>,;:?¿¡/\\]+")
 _BREAK = re.compile(r"[.!?]+[\"'”»)*_]*(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*+>#]|\d+[.)]|[^\W\d_]+ ?(?:wrote)?:))")
 _REPORT = frozenset("word words term terms called call insult insults forbids forbid forbidden quote quoted policy rule conduct report reported such".split())
@@ -226,7 +227,22 @@ def _bare(s: str) -> str:
 
 
 def _join_apart(m: re.Match) -> str:
-    return re.sub(r"[ .\-_*]", "", m[0]) + " "
+    return re.sub(r"[.\-_*]", "", m[0]) + " "
+
+
+def _join_spaced(m: re.Match) -> str:
+    """Letters set apart by blanks as one word; where words run together, the longest term in them apart."""
+    s = m[0].replace(" ", "")
+    if s not in LEXICON:
+        t = max((t for t in LEXICON if len(t) > 3 and t in s), key=len, default="")
+        if t:
+            a, b = s.split(t, 1)
+            s = f"{a} {t} {b}".strip()
+    return s + " "
+
+
+def _joined(s: str) -> str:
+    return _SPACED.sub(_join_spaced, _APART.sub(_join_apart, s))
 
 
 def _words(passage: str):
@@ -286,7 +302,7 @@ def score_text(text: str | None) -> float:
         return 0.0
     folded = fold(text)
     best = 0.0
-    for p in _BREAK.split(_APART.sub(_join_apart, _bare(folded))):
+    for p in _BREAK.split(_joined(_bare(folded))):
         if p and len(p) > 5:
             best = max(best, score_passage(p))
     return round(best, 6)

@@ -80,7 +80,7 @@ class FragmentEncoder:
         w = np.asarray(which, np.int64)
         n = size[w]
         out = flat[np.repeat(start[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(per_text))]
+        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(np.asarray(per_text, np.int64)))]
         return out, np.diff(ends)
 
 

@@ -21,7 +21,7 @@ DIM = 64
 K_NEAREST = 5
 #: Vectors the centroids are fitted on, at most; every vector is indexed.
 MAX_SAMPLE = 131_072
-MAX_LISTS = 8_192
+MAX_LISTS = 16_384
 VECTORS_PER_LIST = 160
 SAMPLE_PER_LIST = 16
 MAX_REPLICAS = 3
@@ -247,7 +247,8 @@ def _rows_of(arr: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 LISTED = pa.schema([("bin", pa.int32()), ("list", pa.int32()), ("key", pa.int64()), ("q", pa.binary()), ("ids", pa.list_(pa.int64()))])
 FOUND = pa.schema([("key", pa.int64()), ("own", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("negs", pa.list_(pa.int32()))])
-LISTS_PER_BIN = 16
+#: Members that a task compares in one call, about; a bin holds one list at least.
+MEMBERS_PER_BIN = 8_192
 
 
 def nearest_pairs(matrices: DataFrame) -> DataFrame:
@@ -261,6 +262,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
     src = matrices.select("chunk_id", "num_tokens", "dimension", "data").where(f"dimension = {DIM} AND num_tokens > 0 AND size(data) = num_tokens * {DIM}")
     total = src.agg(F.sum(F.col("num_tokens").cast("bigint"))).first()[0] or 0
     lists = int(min(MAX_LISTS, max(1, total // VECTORS_PER_LIST)))
+    per_bin = max(1, min(16, MEMBERS_PER_BIN * lists // max(1, MAX_REPLICAS * total)))
     share = min(1.0, min(MAX_SAMPLE, lists * SAMPLE_PER_LIST) / max(total, 1))
     cut = int(share * (1 << 20))
     sample = src.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < cut).select("chunk_id", "num_tokens", "dimension", "data").toArrow()
@@ -289,7 +291,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
                 pick = np.repeat(offs[:-1][row] - (np.cumsum(w) - w), w) + np.arange(w.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((lst // LISTS_PER_BIN).astype(np.int32)),
+                        pa.array((lst // per_bin).astype(np.int32)),
                         pa.array(lst.astype(np.int32)),
                         pa.array(u[row]),
                         pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 3 * DIM * (len(row) + 1), 3 * DIM, dtype=np.int32)), pa.py_buffer(raw)]),
