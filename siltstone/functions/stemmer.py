@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _V = "aeiouy"
@@ -108,7 +108,5 @@ def stemmed(term: pd.Series) -> pd.Series:
     return term.map(stem, na_action="ignore")
 
 
-def with_stems(terms: DataFrame, column: str = "term") -> DataFrame:
-    """Replace a column of terms by their stems, each distinct term stemmed once."""
-    table = terms.select(column).distinct().withColumn("stem", stemmed(F.col(column)))
-    return terms.join(table, column).drop(column).withColumnRenamed("stem", column)
+# so marked, a filter on stems isn't moved below the distinct that spares it every repeated term
+stemmed = stemmed.asNondeterministic()

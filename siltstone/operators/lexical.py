@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.stemmer import stem, with_stems
+from ..functions.stemmer import stem, stemmed
 from ..functions.text import tokens
+from ..runtime import materialize
 
 K1 = 1.2
 B = 0.75
@@ -18,31 +19,59 @@ FUZZY_LEAST = 3
 
 @dataclass
 class LexicalIndex:
-    """postings: field, term, doc, tf. lengths: field, doc, len. terms: field, term, df. fields: field, n_docs, avg_len."""
+    """rows: doc, field, len, term of every token, unstemmed (len: of the doc's field). lengths: field, doc, len. fields: field, n_docs, avg_len. vocabulary: term, stem."""
 
-    postings: DataFrame
+    rows: DataFrame
     lengths: DataFrame
-    terms: DataFrame
     fields: DataFrame
-    stemmed: bool
+    vocabulary: DataFrame | None
+
+    @property
+    def stemmed(self) -> bool:
+        return self.vocabulary is not None
+
+    @property
+    def postings(self) -> DataFrame:
+        """field, term, doc, tf with terms stemmed where the index is."""
+        return self.matching(None).drop("len")
+
+    @property
+    def terms(self) -> DataFrame:
+        """field, term, df."""
+        return self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+    def matching(self, wanted: list[str] | None) -> DataFrame:
+        """Postings of the wanted terms; the choice is made before anything is shuffled."""
+        rows, key = self.rows, F.col("term")
+        if self.vocabulary is not None:
+            # the few terms with a wanted stem are written first, so that their true size decides on the join
+            vocab = self.vocabulary if wanted is None else materialize(self.vocabulary.where(F.col("stem").isin(wanted)), "stems")
+            rows, key = rows.join(vocab, "term"), F.col("stem")
+        elif wanted is not None:
+            rows = rows.where(key.isin(wanted))
+        return rows.groupBy("field", key.alias("term"), "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _raw(docs: DataFrame, doc: str, fields: list[str]) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields]))
+    rows = docs.select(F.col(doc).alias("doc"), each.alias("x"))
+    return rows.select("doc", "x.field", F.size("x.toks").cast("bigint").alias("len"), F.explode("x.toks").alias("term"))
 
 
-def postings(docs: DataFrame, doc: str, fields: list[str], stemming: bool = False) -> DataFrame:
+def postings(docs: DataFrame, doc: str, fields: list[str]) -> DataFrame:
     """field, term, doc, tf. Null texts hold no terms."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields]))
-    rows = docs.select(F.col(doc).alias("doc"), each.alias("x")).select("doc", "x.field", F.explode("x.toks").alias("term"))
-    if stemming:
-        rows = with_stems(rows)
-    return rows.groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"))
+    return _raw(docs, doc, fields).groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build(docs: DataFrame, doc: str, fields: list[str], stemming: bool = False) -> LexicalIndex:
-    post = postings(docs, doc, fields, stemming)
-    lengths = post.groupBy("field", "doc").agg(F.sum("tf").alias("len"))
-    terms = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    # lengths come from the texts themselves: no posting is shuffled for them
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).cast("bigint").alias("len")) for f in fields]))
+    lengths = docs.select(F.col(doc).alias("doc"), each.alias("x")).select("x.field", "doc", "x.len").where("len > 0")
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     stats = lengths.groupBy("field").agg(F.sum("len").alias("total")).join(F.broadcast(n), how="inner")  # a single row
-    return LexicalIndex(post, lengths, terms, stats.select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len")), stemming)
+    stats = stats.select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len"))
+    vocabulary = _raw(docs, doc, fields).select("term").distinct().withColumn("stem", stemmed(F.col("term"))) if stemming else None
+    return LexicalIndex(_raw(docs, doc, fields), lengths, stats, vocabulary)
 
 
 def query_terms(query: str, stemming: bool = False) -> list[str]:
@@ -90,12 +119,11 @@ def bm25(index: LexicalIndex, query: str, boosts: dict[str, float] | None = None
     counts = {t: wanted.count(t) for t in wanted}
     weight = F.create_map(*[x for t, n in counts.items() for x in (F.lit(t), F.lit(float(n)))])
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(float(b))) for f, b in boosts.items()], F.lit(1.0))
-    hit = index.postings.where(F.col("term").isin(list(counts)))
+    hit = materialize(index.matching(list(counts)), "hits")  # read for document frequencies and for scores
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     part = (
-        hit.join(index.terms.where(F.col("term").isin(list(counts))), ["field", "term"])
-        .join(index.lengths, ["field", "doc"])
+        hit.join(hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"])
         .join(index.fields, "field")
         .select("doc", (weight[F.col("term")] * boost * idf * norm).alias("s"))
     )
