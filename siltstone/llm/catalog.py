@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
 from .abuse import abusive, rates
@@ -15,6 +15,7 @@ from .markup import structure
 from .mixture import mixing_plan, reached_shares, sized_documents
 from .near_duplicates import groups, similar_pairs
 from .neighbours import nearest_pairs
+from .templates import equivalence_classes, page_tokens, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +87,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(items)
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "document_responses").select(F.col("collection").alias("host"), F.col("doc_num_id").alias("page"), F.col("content").alias("html"))
+
+
+@query()
+def p7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return equivalence_classes(page_tokens(pages(spark, sf_dir)))
+
+
+@query()
+def p7_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots(pages(spark, sf_dir))
+
+
 @query()
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
