@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import catalog_data, catalog_search, catalog_text  # noqa: F401  (they register their queries)
 from .operators.merkle import merkle_diff
@@ -45,6 +45,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_diff(table(spark, sf_dir, "snapshots"), table(spark, sf_dir, "snapshot_files"))
 
 
+@query(
+    f"""SELECT collection, snapshot_no, count(*) FILTER (change_kind = 'new') AS new_paths, count(*) FILTER (change_kind = 'changed') AS changed_paths,
+  count(*) FILTER (change_kind = 'deleted') AS deleted_paths FROM ({ORACLES["p1_found"]}) GROUP BY 1, 2"""
+)
+def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [F.count(F.when(F.col("change_kind") == k, 1)).alias(f"{k}_paths") for k in ("new", "changed", "deleted")]
+    return p1_found(spark, sf_dir).groupBy("collection", "snapshot_no").agg(*kinds)
+
+
 @query(
     """
 WITH ok AS (

@@ -68,8 +68,10 @@ def q_document_tree(spark, sf_dir):
 
 
 def leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "snapshot_files").where("relative_path IS NOT NULL AND leaf_hash IS NOT NULL AND snapshot_no = 3 AND delivery_no = 1")
-    return rows.groupBy("collection", F.col("relative_path").alias("path")).agg(F.max(F.lower("leaf_hash")).alias("leaf_hash"))
+    """Leaf hashes of every delivery; a delivery is a tree of its own."""
+    tree = F.concat_ws(":", "collection", F.col("snapshot_no").cast("string"), F.col("delivery_no").cast("string"))
+    rows = table(spark, sf_dir, "snapshot_files").where("relative_path IS NOT NULL AND leaf_hash IS NOT NULL")
+    return rows.groupBy(tree.alias("collection"), F.col("relative_path").alias("path")).agg(F.max(F.lower("leaf_hash")).alias("leaf_hash"))
 
 
 _DEPTHS = 8
@@ -82,8 +84,8 @@ n{d} AS (SELECT collection, path, h, kind, depth FROM n{d + 1} UNION ALL SELECT
 
 
 @query(
-    f"""WITH n{_DEPTHS} AS (SELECT collection, relative_path AS path, max(lower(leaf_hash)) AS h, 'f' AS kind, len(string_split(relative_path, '/')) AS depth
-  FROM snapshot_files WHERE relative_path IS NOT NULL AND leaf_hash IS NOT NULL AND snapshot_no = 3 AND delivery_no = 1 GROUP BY 1, 2), {_LEVELS}
+    f"""WITH n{_DEPTHS} AS (SELECT concat_ws(':', collection, snapshot_no, delivery_no) AS collection, relative_path AS path, max(lower(leaf_hash)) AS h, 'f' AS kind, len(string_split(relative_path, '/')) AS depth
+  FROM snapshot_files WHERE relative_path IS NOT NULL AND leaf_hash IS NOT NULL GROUP BY 1, 2), {_LEVELS}
 SELECT collection, path AS dir, h AS dir_hash FROM n0 WHERE kind = 'd'"""
 )
 def q_directory_hashes(spark, sf_dir):

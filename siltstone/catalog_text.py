@@ -105,14 +105,17 @@ def q_line_range(spark, sf_dir):
 
 @query(
     r"""
-SELECT doc_id, CASE WHEN strlen(text) <= 10 THEN '' ELSE text[11:60] || CASE WHEN strlen(text) > 61 THEN chr(10) || chr(10) || '[... ' || (strlen(text) - 60) || ' more bytes remaining]'
-  WHEN strlen(text) = 61 THEN chr(10) || chr(10) || '[... 1 more byte remaining]' ELSE '' END END AS part
-FROM documents WHERE text IS NOT NULL AND strlen(text) = length(text)
+WITH at AS (SELECT doc_id, text,
+  list_max(list_filter(range(1, 12), lambda i: strlen(left(text, i - 1)) <= 10)) AS a,
+  CASE WHEN strlen(text) <= 60 THEN length(text) + 1 ELSE list_max(list_filter(range(1, 62), lambda i: strlen(left(text, i - 1)) <= 60)) END AS b
+  FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT doc_id, strlen(text) AS n, substring(text, a, b - a) AS part, strlen(text) - strlen(left(text, b - 1)) AS more FROM at)
+SELECT doc_id, CASE WHEN n <= 10 THEN '' ELSE part || CASE WHEN more > 1 THEN chr(10) || chr(10) || '[... ' || more || ' more bytes remaining]'
+  WHEN more = 1 THEN chr(10) || chr(10) || '[... 1 more byte remaining]' ELSE '' END END AS part FROM parts
 """
 )
 def q_byte_range(spark, sf_dir):
-    ascii_only = documents(spark, sf_dir).where("text IS NOT NULL AND octet_length(text) = char_length(text)")
-    return ascii_only.select("doc_id", T.byte_range("text", 10, 59).alias("part"))
+    return documents(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.byte_range("text", 10, 59).alias("part"))
 
 
 def chunked(spark: SparkSession, sf_dir: str, size: int = T.CHUNK_CHARS) -> DataFrame:
