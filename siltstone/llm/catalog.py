@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
-from .abuse import abusive, rates
+from .abuse import abuse_scores, abusive, rates
 from .documented_functions import documented_functions
 from .encoding import encode_texts
 from .fusion import leximin_top
@@ -39,6 +39,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("crate_name", "crate_version", "qualified_path").distinct()
 
 
+@query()
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "rust_items"))
+
+
 @query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "document_responses"), "doc_num_id", "content")
@@ -122,6 +127,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abusive(table(spark, sf_dir, "documents"))
 
 
+@query()
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse_scores(table(spark, sf_dir, "documents"))
+
+
 @query()
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(table(spark, sf_dir, "documents"))
