@@ -564,6 +564,9 @@ def from_latex(text: str) -> list[Element]:
 # --- dialects ---------------------------------------------------------------------------------------
 
 _HTML_START = re.compile(r"<(?:!doctype|html|head|body|h[1-6]|p|ul|ol|div|table|nav|section|article)\b", re.I)
+_PRE_START = re.compile(r"<pre\b", re.I)
+_PRE_CODE = re.compile(r"<pre[^<>]*><code\b", re.I)
+_HTML_BLOCK = re.compile(r"<(?:p|ul|ol|h[1-6]|div|body)\b[^<>]*>", re.I)
 _LATEX_MARK = re.compile(
     r"\\(?:documentclass|begin\{(?:document|itemize|enumerate|verbatim|lstlisting|equation|align|gather)\*?\}|(?:sub)*section\*?\{|paragraph\*?\{|(?:emph|textbf|textit|texttt|href)\{)|\\textless\{\}"
 )
@@ -577,6 +580,9 @@ def dialect(text: str) -> str:
     body = _COMMENT.sub("", text).lstrip()
     if _HTML_START.match(body):
         return "html"
+    # preformatted text opens pages of HTML and of wikis alike
+    if _PRE_START.match(body) and (_PRE_CODE.match(body) or _HTML_BLOCK.search(_WIKI_CODE.sub("", body))):
+        return "html"
     bare = _ANY_FENCE.sub("", body)
     bare = re.sub(r"^(?: {4}|\t)[^\n]*$", "", bare, flags=re.M)
     if _LATEX_MARK.search(bare):

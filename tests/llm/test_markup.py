@@ -108,6 +108,7 @@ def test_sequence_numbers_and_edges():
     for t in (None, "", " \n\t", "\ufeff"):
         assert of(t) == []
     assert of("```\nnever closed") == [("code_block", "never closed")]
+    assert of("<pre><code>a &lt; b</code></pre>") == of("<PRE>a &lt; b</PRE>\n<P>text</P>") == of("<pre>\na &lt; b\n</pre>\n\ntext") == [("code_block", "a < b")]
     assert len(of("- item number\n" * 20_000)) == 20_000
     assert len(of("<p>" + "<ul><li>x" * 300)) == 300
     assert of("# \x000\x00 \x015\x01") == [("heading", "0 5")]
