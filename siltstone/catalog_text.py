@@ -105,11 +105,11 @@ def q_line_range(spark, sf_dir):
 
 @query(
     r"""
-WITH at AS (SELECT doc_id, text,
+WITH spots AS (SELECT doc_id, text,
   list_max(list_filter(range(1, 12), lambda i: strlen(left(text, i - 1)) <= 10)) AS a,
   CASE WHEN strlen(text) <= 60 THEN length(text) + 1 ELSE list_max(list_filter(range(1, 62), lambda i: strlen(left(text, i - 1)) <= 60)) END AS b
   FROM documents WHERE text IS NOT NULL),
-parts AS (SELECT doc_id, strlen(text) AS n, substring(text, a, b - a) AS part, strlen(text) - strlen(left(text, b - 1)) AS more FROM at)
+parts AS (SELECT doc_id, strlen(text) AS n, substring(text, a, b - a) AS part, strlen(text) - strlen(left(text, b - 1)) AS more FROM spots)
 SELECT doc_id, CASE WHEN n <= 10 THEN '' ELSE part || CASE WHEN more > 1 THEN chr(10) || chr(10) || '[... ' || more || ' more bytes remaining]'
   WHEN more = 1 THEN chr(10) || chr(10) || '[... 1 more byte remaining]' ELSE '' END END AS part FROM parts
 """
