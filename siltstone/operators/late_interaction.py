@@ -58,6 +58,12 @@ def batched_maxsim(tokens: DataFrame, query: np.ndarray, doc: str = "doc", vec:
     return part.groupBy("doc").agg(sum(cols[1:], cols[0]).alias("score"))
 
 
+def token_scores(tokens: DataFrame, query: np.ndarray, doc: str = "doc", vec: str = "vec") -> DataFrame:
+    """doc, tok, scores: every token's product with every query vector, unreduced."""
+    cols = [dot(F.col(vec), F.array(*[F.lit(float(x)) for x in q])) for q in np.atleast_2d(query)]
+    return tokens.where(F.col(vec).isNotNull()).select(F.col(doc).alias("doc"), "tok", F.array(*cols).alias("scores"))
+
+
 def centroid_scores(codec: Codec, query: np.ndarray) -> np.ndarray:
     """Query token by centroid dot products (a few rows by MAX_CENTROIDS)."""
     return np.atleast_2d(query) @ codec.centroids.T

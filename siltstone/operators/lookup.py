@@ -125,3 +125,34 @@ def directory_hashes(files: DataFrame) -> DataFrame:
     if done is None:
         return leaves.where("false").select("collection", F.col("path").alias("dir"), F.col("h").alias("dir_hash"))
     return done.select("collection", F.col("path").alias("dir"), F.col("h").alias("dir_hash"))
+
+
+def link_targets(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (collection, target, ...) with the path they lead to: by path, else by a stem that is unique in the collection.
+
+    `.md` may be left out; a target that fits nothing or several files gets null.
+    """
+    links = links.withColumn("_path", F.when(F.col("target").rlike(r"\.[A-Za-z0-9]+$"), F.col("target")).otherwise(F.concat("target", F.lit(".md"))))
+    own = docs.select("collection", "path").distinct()
+    exact = own.select("collection", F.col("path").alias("_path"), F.col("path").alias("_exact"))
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    by_stem = own.groupBy("collection", F.lower(stem).alias("_stem")).agg(F.min("path").alias("_one"), F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    name = F.lower(F.regexp_replace(F.element_at(F.split("target", "/"), -1), r"(?<=.)\.[^.]*$", ""))
+    return (
+        links.withColumn("_stem", name)
+        .join(exact, ["collection", "_path"], "left")
+        .join(by_stem, ["collection", "_stem"], "left")
+        .withColumn("path", F.coalesce("_exact", "_one"))
+        .drop("_path", "_stem", "_exact", "_one")
+    )
+
+
+def conversation_summary(turns: DataFrame) -> DataFrame:
+    """id, title, updated_at, messages of conversations (id, title, updated_at, messages array), the newest first."""
+    return turns.select("id", "title", "updated_at", F.size("messages").alias("n_messages")).orderBy(F.desc("updated_at"), "id")
+
+
+def result_json(results: DataFrame) -> DataFrame:
+    """json: each result as an object, its score with six decimals."""
+    cols = [F.format_string("%.6f", "score").alias("score") if c == "score" else F.col(c) for c in results.columns]
+    return results.select(F.to_json(F.struct(*cols)).alias("json"))

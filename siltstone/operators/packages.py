@@ -154,3 +154,26 @@ def merge_docs(items_: DataFrame, docs: DataFrame) -> DataFrame:
     new = docs.where("doc IS NOT NULL AND doc <> ''").dropDuplicates(["qualified_path"])
     out = [F.coalesce("doc", "doc_markdown").alias("doc_markdown") if c == "doc_markdown" else F.col(c) for c in items_.columns]
     return items_.join(new.select("qualified_path", "doc"), "qualified_path", "left").select(*out)
+
+
+def evict(cached: DataFrame, name: str, requirement: str | None = None) -> DataFrame:
+    """The cache without a package, or without its versions that meet a requirement."""
+    mine = F.col("name") == name
+    if requirement is None:
+        return cached.where(~mine)
+    cond = F.lit(True)
+    for part in requirement.split(","):
+        cond = cond & _bounds(part)
+    return cached.withColumn("k", version_key("version")).where(~(mine & F.coalesce(F.col("k").isNotNull() & cond, F.lit(False)))).drop("k")
+
+
+def stale(resolved: DataFrame, now: int, max_age: int) -> DataFrame:
+    """Packages whose `latest` was resolved longer than max_age seconds ago."""
+    return resolved.where((F.col("spec") == "latest") & (F.lit(now) - F.col("resolved_at") > max_age))
+
+
+def implementors_block(found: DataFrame) -> DataFrame:
+    """trait_path, block: the Markdown list of a trait's implementors."""
+    line = F.concat(F.lit("- `"), "impl_signature", F.lit("`"))
+    rows = found.select("trait_path", line.alias("line")).groupBy("trait_path").agg(F.array_join(F.array_sort(F.collect_set("line")), "\n").alias("lines"))
+    return rows.select("trait_path", F.concat(F.lit("# Implementors\n\n"), "lines", F.lit("\n")).alias("block"))

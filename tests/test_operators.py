@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions.stemmer import stem
 from siltstone.operators import late_interaction as L, lexical, lookup, packages, upsert, vectors as V
-from siltstone.sources import files as S
+from siltstone.sources import files as S, index_store
 from siltstone.sources.embeddings import EmbeddingStore, one_dimension
 from tests.conftest import rows
 
@@ -185,3 +185,36 @@ def test_embedding_store(spark, tmp_path):
     assert one_dimension(store.load()) == 2
     with pytest.raises(ValueError):
         one_dimension(store.load().where("false"))
+
+
+def test_index_store(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 6))
+    toks = spark.createDataFrame([(i // 4, i, v.tolist()) for i, v in enumerate(x)], "doc int, key int, vec array<double>")
+    codec = V.fit_codec(toks, 4, 4, vec="vec", key="key")
+    codes = V.encode(toks.select("doc", "vec"), codec, "vec")
+    index_store.save(codes, codec, str(tmp_path / "ix"))
+    back, again = index_store.load(spark, str(tmp_path / "ix"))
+    q = x[:2]
+    p = L.SearchParams(3, 4, None, None)
+    assert rows(L.search(back, again, q, p)) == rows(L.search(codes, codec, q, p))
+    index_store.save(codes.withColumn("cid", F.lit(99)), codec, str(tmp_path / "bad"))
+    with pytest.raises(ValueError):
+        index_store.load(spark, str(tmp_path / "bad"))
+    full = L.token_scores(toks.withColumnRenamed("key", "tok"), q).collect()
+    assert np.allclose([r.scores for r in sorted(full, key=lambda r: r.tok)], x @ q.T)
+
+
+def test_links_and_small_reports(spark):
+    docs = spark.createDataFrame([("c", "a/One.md"), ("c", "b/two.md"), ("c", "x/two.md"), ("d", "one.md")], "collection string, path string")
+    links = spark.createDataFrame([("c", "a/One"), ("c", "one"), ("c", "two"), ("c", "b/two.md"), ("c", "none")], "collection string, target string")
+    assert rows(lookup.link_targets(links, docs), "target", "path") == [("a/One", "a/One.md"), ("b/two.md", "b/two.md"), ("none", None), ("one", "a/One.md"), ("two", None)]
+    talks = spark.createDataFrame([("x", "t", 5, ["m"]), ("y", "u", 9, [])], "id string, title string, updated_at bigint, messages array<string>")
+    assert [tuple(r) for r in lookup.conversation_summary(talks).collect()] == [("y", "u", 9, 0), ("x", "t", 5, 1)]
+    assert rows(lookup.result_json(spark.createDataFrame([(1, 0.5)], "rank int, score double"))) == [('{"rank":1,"score":"0.500000"}',)]
+    cached = spark.createDataFrame([("a", "1.0.0"), ("a", "2.1.0"), ("b", "1.0.0")], "name string, version string")
+    assert rows(packages.evict(cached, "a", "^1")) == [("a", "2.1.0"), ("b", "1.0.0")] and packages.evict(cached, "a").count() == 1
+    asked = spark.createDataFrame([("a", "latest", 10), ("b", "1.0", 10), ("c", "latest", 95)], "name string, spec string, resolved_at bigint")
+    assert rows(packages.stale(asked, 100, 50), "name") == [("a",)]
+    impls = spark.createDataFrame([("t", "impl t for B"), ("t", "impl t for A")], "trait_path string, impl_signature string")
+    assert packages.implementors_block(impls).first().block == "# Implementors\n\n- `impl t for A`\n- `impl t for B`\n"
