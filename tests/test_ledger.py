@@ -90,3 +90,16 @@ def test_count_below(spark):
     want = {(g, v): sum(n for g2, v2, n in data if g2 == g and v2 < v) for g, v, _ in data}
     assert {(r.g, r.v): r.below for r in got.collect()} == want
     assert got.where(F.col("below").isNull()).count() == 0
+
+
+def test_stream_of_sightings(spark, tmp_path):
+    from siltstone.streaming.watch import follow
+
+    kind = "obs_id bigint, collection string, relative_path string, mtime bigint, found_at timestamp, delivered_at timestamp"
+    base = spark.createDataFrame([("a", "x", 1)], "collection string, relative_path string, mtime bigint")
+    ledger = WatermarkLedger(spark, scratch(spark, "ledger"), ["collection", "relative_path"])
+    for n, data in enumerate([[(1, "a", "x", 1, at(1), at(1)), (2, "a", "y", 2, at(1), at(2))], [(3, "a", "x", 5, at(3), at(3)), (4, "a", "z", 7, at(0), at(0))], []]):
+        spark.createDataFrame(data, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        follow(spark, str(tmp_path / "in"), kind, ledger, base, str(tmp_path / "cp")).awaitTermination(120)
+    assert rows(ledger.changes(), "run_id", "relative_path", "mtime") == [(0, "y", 2), (1, "x", 5), (1, "z", 7)]
+    assert [c["watermark"] for c in ledger.commits()] == [1, 2]
