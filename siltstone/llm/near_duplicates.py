@@ -84,10 +84,6 @@ def _cells(toks: np.ndarray) -> np.ndarray:
     return (toks >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
-def _bits(toks: np.ndarray) -> np.ndarray:
-    return toks.astype(np.int64) & (BITS - 1)
-
-
 def _prefix(toks: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rarest triples of a set, enough for any partner, and their counts' bounds."""
     f = often[_cells(toks)]
@@ -230,6 +226,36 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([t.column("a").filter(mask), t.column("b").filter(mask)], ["a", "b"])
 
 
+def _bit_set(keys: DataFrame) -> np.ndarray:
+    """BITS bits, those of the keys set; a fixed size, whatever their number."""
+    k = keys.columns[0]
+    words = (
+        keys.select(F.expr(f"`{k}` & {BITS - 1}L").alias("bit"))
+        .groupBy(F.expr("shiftright(bit, 6)").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask"))
+        .toArrow()
+    )
+    out = np.zeros(BITS // 64, np.int64)
+    out[np.asarray(words.column("word"))] = np.asarray(words.column("mask"))
+    return out
+
+
+def _has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return ((bits[at >> 6] >> (at & 63)) & 1) == 1
+
+
+def _with_bit(shared, key: str, wanted: bool):
+    """Rows whose key has its bit set (or not); some have it by chance."""
+
+    def run(batches):
+        for b in batches:
+            mask = _has_bit(shared.value, np.asarray(b.column(key), dtype=np.int64)) == wanted
+            yield b.filter(pa.array(mask))
+
+    return run
+
+
 def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, links): members maps `id` to the class `sig` of equal triple sets,
     links pairs similar classes (a < b).
@@ -241,7 +267,13 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
     src = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text)
     sets = materialize(src.mapInArrow(_sets, "id bigint, sig bigint, n int, toks binary"), "sets")
     members = sets.select("id", "sig").distinct()
-    classes = materialize(sets.groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks")), "classes")
+    # most sets occur once and stay where they are; only those that may have copies are brought together
+    copied = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    may = spark.sparkContext.broadcast(_bit_set(copied.select("sig")))
+    schema = "sig bigint, n int, toks binary"
+    once = sets.select("sig", "n", "toks").mapInArrow(_with_bit(may, "sig", False), schema)
+    again = sets.select("sig", "n", "toks").mapInArrow(_with_bit(may, "sig", True), schema).groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
+    classes = once.unionByName(materialize(again, "copies"))
 
     def tally(batches):
         out = np.zeros(CELLS, np.int64)
@@ -263,16 +295,9 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64))], ["tok"])
 
     shared = classes.select("toks").mapInArrow(heads, "tok bigint").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spots = (
-        shared.select(F.expr(f"tok & {BITS - 1}L").alias("bit"), "n")
-        .groupBy(F.expr("shiftright(bit, 6)").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask"), F.sum("n").alias("n"))
-        .toArrow()
-    )
-    filled = np.zeros(BITS // 64, np.int64)
-    filled[np.asarray(spots.column("word"))] = np.asarray(spots.column("mask"))
-    filled_b = spark.sparkContext.broadcast(filled)  # BITS bits, whatever the corpus
-    bins = max(1, int(np.asarray(spots.column("n")).sum()) // ENTRIES_PER_BIN) if len(spots) else 1
+    total = materialize(shared, "shared")
+    filled_b = spark.sparkContext.broadcast(_bit_set(total.select("tok")))
+    bins = max(1, int(total.agg(F.sum("n")).first()[0] or 0) // ENTRIES_PER_BIN)
 
     def entries(batches):
         often, filled = often_b.value, filled_b.value
@@ -281,8 +306,7 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
             for sig, n, raw in zip(b.column("sig").to_pylist(), b.column("n").to_pylist(), b.column("toks").to_pylist()):
                 toks = np.frombuffer(raw, np.uint64)
                 head, f = _prefix(toks, often)
-                bit = _bits(head)
-                keep = (f > 1) & (((filled[bit >> 6] >> (bit & 63)) & 1) == 1)
+                keep = (f > 1) & _has_bit(filled, head.view(np.int64))
                 if not keep.any():
                     continue
                 m = _bitmap(toks).tobytes()
@@ -298,8 +322,11 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
     listed = classes.mapInArrow(entries, "bin int, tok bigint, part bigint, side int, sig bigint, n int, pos int, map binary")
     pairs = listed.groupBy("bin").applyInArrow(_candidates, "a bigint, b bigint").distinct()
     pairs = materialize(pairs, "candidates")
-    left = classes.select(F.col("sig").alias("a"), F.col("toks").alias("ta"))
-    right = classes.select(F.col("sig").alias("b"), F.col("toks").alias("tb"))
+    # only sets that are in a pair travel to be compared
+    paired = spark.sparkContext.broadcast(_bit_set(pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))))
+    asked = classes.mapInArrow(_with_bit(paired, "sig", True), schema)
+    left = asked.select(F.col("sig").alias("a"), F.col("toks").alias("ta"))
+    right = asked.select(F.col("sig").alias("b"), F.col("toks").alias("tb"))
     links = materialize(pairs.join(left, "a").join(right, "b").mapInArrow(_exact, "a bigint, b bigint"), "links")
     return members, links
 
