@@ -11,6 +11,8 @@ too small. Pairs that are left are compared exactly.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,7 +34,18 @@ BLOCK = 2_048
 ENTRIES_PER_BIN = 100_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-_seen_words: dict[str, int] = {}
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
+
+
+class _Words(dict):
+    """Hashes of the words seen so far."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_seen_words = _Words()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -46,13 +59,8 @@ def triples(text: str) -> np.ndarray:
     """Sorted distinct hashes of the runs of three successive words of a text."""
     if len(_seen_words) > 500_000:
         _seen_words.clear()
-    h = []
-    for w in _WORD.findall(text):
-        w = w.lower()
-        x = _seen_words.get(w)
-        if x is None:
-            x = _seen_words[w] = xxhash.xxh3_64_intdigest(w)
-        h.append(x)
+    words = _PLAIN_WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+    h = list(map(_seen_words.__getitem__, words))
     if len(h) < 3:
         return np.zeros(0, np.uint64)
     a = np.array(h, np.uint64)
