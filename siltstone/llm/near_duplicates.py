@@ -200,7 +200,8 @@ ENTRY = pa.schema(
 def _candidates(tbl: pa.Table) -> pa.Table:
     col = lambda c: np.asarray(tbl.column(c).combine_chunks())
     tok, part, n, pos, sig, side = (col(c) for c in ("tok", "part", "n", "pos", "sig", "side"))
-    maps = np.frombuffer(b"".join(tbl.column("map").to_pylist()), np.uint64).reshape(-1, WORDS)
+    raw = tbl.column("map").combine_chunks()
+    maps = np.frombuffer(raw.buffers()[2], np.uint64, len(raw) * WORDS, offset=raw.offset * WORDS * 8).reshape(-1, WORDS)
     o = np.lexsort((sig, n, part, tok))
     tok, part, n, pos, sig, side, maps = tok[o], part[o], n[o].astype(np.int64), pos[o].astype(np.int64), sig[o], side[o], maps[o]
     new = np.append(True, (tok[1:] != tok[:-1]) | (part[1:] != part[:-1]))
@@ -310,22 +311,35 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
     def entries(batches):
         often, filled = often_b.value, filled_b.value
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for sig, n, raw in zip(b.column("sig").to_pylist(), b.column("n").to_pylist(), b.column("toks").to_pylist()):
+            sigs, sizes = np.asarray(b.column("sig"), dtype=np.int64), np.asarray(b.column("n"), dtype=np.int32)
+            doc, tok, pos, part, side, maps = [], [], [], [], [], np.zeros((len(sigs), WORDS), np.uint64)
+            for i, raw in enumerate(b.column("toks").to_pylist()):
                 toks = np.frombuffer(raw, np.uint64)
                 head, f = _prefix(toks, often)
-                keep = (f > 1) & _has_bit(filled, head.view(np.int64))
-                if not keep.any():
+                at = np.flatnonzero((f > 1) & _has_bit(filled, head.view(np.int64)))
+                if not len(at):
                     continue
-                m = _bitmap(toks).tobytes()
-                for tok, pos, most in zip(head[keep].view(np.int64).tolist(), np.flatnonzero(keep).tolist(), f[keep].tolist()):
-                    for part, side in _blocks(sig, n, most):
-                        for c, v in zip(rows, (tok, part, side, sig, n, pos, m)):
-                            c.append(v)
-            tok = np.array(rows[0], np.int64)
-            part = np.array(rows[1], np.int64)
-            spread = (_mix(tok.view(np.uint64) ^ _mix(part.view(np.uint64))) % np.uint64(bins)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(tok), pa.array(part), *[pa.array(c, f.type) for c, f in zip(rows[2:], list(ENTRY)[3:])]], schema=ENTRY)
+                maps[i] = _bitmap(toks)
+                where = [_blocks(int(sigs[i]), int(sizes[i]), int(m)) if m > BLOCK else [(0, 0)] for m in f[at]] if f[at].max() > BLOCK else None
+                n = np.array([len(w) for w in where]) if where else np.ones(len(at), np.int64)
+                doc.append(np.full(n.sum(), i))
+                tok.append(np.repeat(head[at].view(np.int64), n))
+                pos.append(np.repeat(at, n))
+                both = np.array([x for w in where for x in w], np.int64).reshape(-1, 2) if where else np.zeros((len(at), 2), np.int64)
+                part.append(both[:, 0])
+                side.append(both[:, 1])
+            if not doc:
+                continue
+            d, t, p = np.concatenate(doc), np.concatenate(tok), np.concatenate(part)
+            spread = (_mix(t.view(np.uint64) ^ _mix(p.view(np.uint64))) % np.uint64(bins)).astype(np.int32)
+            ends = pa.py_buffer(np.arange(0, 8 * WORDS * (len(d) + 1), 8 * WORDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(spread), pa.array(t), pa.array(p), pa.array(np.concatenate(side).astype(np.int32)), pa.array(sigs[d]), pa.array(sizes[d]),
+                    pa.array(np.concatenate(pos).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(d), [None, ends, pa.py_buffer(maps[d].tobytes())]),
+                ],
+                schema=ENTRY,
+            )
 
     listed = classes.mapInArrow(entries, "bin int, tok bigint, part bigint, side int, sig bigint, n int, pos int, map binary")
     pairs = listed.groupBy("bin").applyInArrow(_candidates, "a bigint, b bigint").distinct()
@@ -339,7 +353,7 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
     return members, links
 
 
-def _blocks(sig: int, n: int, most: int):
+def _blocks(sig: int, n: int, most: int) -> list[tuple[int, int]]:
     """Where a member of a triple goes: (part, side) pairs.
 
     A triple that few sets share is one part. Others are split by size band
@@ -347,8 +361,8 @@ def _blocks(sig: int, n: int, most: int):
     so a hot triple is met by many tasks and loses no pair.
     """
     if most <= BLOCK:
-        yield 0, 0
-        return
+        return [(0, 0)]
+    out = []
     per_band = -(-most // BLOCK)
     band = int(np.log(n) / np.log(DEN / NUM))
     own = (sig & 0x7FFFFFFF) % per_band
@@ -357,7 +371,8 @@ def _blocks(sig: int, n: int, most: int):
             x, y = (band, own), (other_band, other)
             lo, hi = min(x, y), max(x, y)
             part = ((lo[0] * per_band + lo[1]) * 4_000_037 + hi[0] * per_band + hi[1]) * 2 + 1
-            yield part, 0 if x == y else (1 if x == lo else 2)
+            out.append((part, 0 if x == y else (1 if x == lo else 2)))
+    return out
 
 
 def similar_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
