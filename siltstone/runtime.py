@@ -51,6 +51,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this package wrote to the shared folder; results that still read from it are lost."""
+    delete_path(spark, f"{shared_dir(spark)}/siltstone")
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write once to the shared folder and read back.
 

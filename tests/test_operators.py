@@ -218,3 +218,14 @@ def test_links_and_small_reports(spark):
     assert rows(packages.stale(asked, 100, 50), "name") == [("a",)]
     impls = spark.createDataFrame([("t", "impl t for B"), ("t", "impl t for A")], "trait_path string, impl_signature string")
     assert packages.implementors_block(impls).first().block == "# Implementors\n\n- `impl t for A`\n- `impl t for B`\n"
+
+
+def test_cleanup_deletes_only_own_tables(spark, monkeypatch, tmp_path):
+    from siltstone import runtime
+
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: str(tmp_path))
+    kept = tmp_path / "other"
+    kept.mkdir()
+    assert runtime.materialize(spark.range(3)).count() == 3 and (tmp_path / "siltstone").exists()
+    runtime.cleanup(spark)
+    assert not (tmp_path / "siltstone").exists() and kept.exists()
