@@ -217,13 +217,33 @@ _MATH = re.compile(r"\$\$[^$]{1,400}\$\$|\$(?! )[^$\n]{1,200}(?<! )\$(?!\d)|\\\(
 _EMPHASIS = re.compile(r"(?<![\w*])(\*{1,3}|_{1,3})(?=[^\s*_])([^*_\n]{1,200}?)(?<=[^\s*_])\1(?![\w*])")
 
 
-def _bare(s: str) -> str:
-    """Text without tags, formulas and emphasis, whose signs would look like masks."""
+_TEX = re.compile(r"[\\^=_]")
+_COMMAND = re.compile(r"\\[a-z]+")
+#: Three or more letters or signs for letters in a row, two of them letters.
+_WORDLIKE = re.compile(r"(?=[^\W\d_]*[\d@$!|€+]*[^\W\d_][\d@$!|€+]*[^\W\d_])(?:[^\W_]|[@$!|€+]){3,}")
+
+
+def _unless_words(m: re.Match) -> str:
+    """What only can be a formula as a blank, anything else as it is."""
+    inner = _COMMAND.sub(" ", m[0].strip("$"))
+    around = m.string[m.start() - 1 : m.start()] + m.string[m.end() : m.end() + 1]
+    if _TEX.search(m[0]) and not _WORDLIKE.search(inner) and not any(c.isalnum() or c in "@$!|+€" for c in around):
+        return " "
+    return m[0]
+
+
+def _bare(s: str) -> list[str]:
+    """Text without tags, formulas and emphasis, whose signs would look like masks.
+
+    Where a formula may as well be words with `$` for a letter, the text with
+    it is a second reading.
+    """
     if "<" in s:
         s = _TAG.sub("", _BLOCK_TAG.sub("\n\n", s))
+    readings = [s]
     if "$" in s or "\\" in s:
-        s = _MATH.sub(" ", s)
-    return _EMPHASIS.sub(r"\2", s) if "*" in s or "_" in s else s
+        readings = list(dict.fromkeys([_MATH.sub(" ", s), _MATH.sub(_unless_words, s)]))
+    return [_EMPHASIS.sub(r"\2", r) if "*" in r or "_" in r else r for r in readings]
 
 
 def _join_apart(m: re.Match) -> str:
@@ -302,9 +322,10 @@ def score_text(text: str | None) -> float:
         return 0.0
     folded = fold(text)
     best = 0.0
-    for p in _BREAK.split(_joined(_bare(folded))):
-        if p and len(p) > 5:
-            best = max(best, score_passage(p))
+    for reading in _bare(folded):
+        for p in _BREAK.split(_joined(reading)):
+            if p and len(p) > 5:
+                best = max(best, score_passage(p))
     return round(best, 6)
 
 

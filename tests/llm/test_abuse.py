@@ -72,3 +72,13 @@ def test_agreement_with_labels(spark, duck):
     said = duckdb.sql(f"SELECT doc_id, avg(toxic) >= 0.5 FROM '{big}/content_labels.parquet' WHERE toxic IS NOT NULL GROUP BY 1").fetchall()
     # not held out: the lexicon was written with such documents in view, and raters err
     assert sum((d in found) == t for d, t in said) / len(said) > 0.85
+
+
+@pytest.mark.parametrize("text", ["Y0u $tup1d b@$t@rd, y0ur p00l 1$ @$ u$3l3$$ @$ y0u @r3", "$hut up @nd g3t l0$t, $cumb@g", "$x^2$ is odd. L3g$ $pr3@d, n@k3d @$ f*ck, c0$t $9"])
+def test_dollars_as_letters(text):
+    assert A.score_text(text) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Let $a_1 = b$ and $$s^2 + h_1$$ hold.", "$$\\sum_{q=1}^{8} a_{s} s^2 \\left( f u - c k \\right)$$", "It costs $5 or $6 here, and $x$-axis values follow."])
+def test_formulas_are_no_cues(text):
+    assert A.score_text(text) < A.THRESHOLD
