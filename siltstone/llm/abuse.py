@@ -15,9 +15,12 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from ..runtime import materialize
+
 THRESHOLD = 1.0
 #: Words in which the cues of a passage must lie together.
 WINDOW = 24
@@ -71,6 +74,24 @@ ORDINARY = frozenset(
     "listen listed lister lost last list loser closer lower user poser laser losers coward toward howard forward jerk perk clerk cretin certain creation faith fait faire merde merge mierda "
     "miss mess idiom idioms patent pathetic basura debil debiles trop inutile inutiles utile elender blender bloder dummer summer hummer imbecile imbeciles vete vite nue rue vue nues".split()
 )
+#: The same from the words of the public vocabularies.
+ORDINARY |= frozenset(
+    "bac bach backs baisser baissez bak balk bank bark bask bates bearing beasts beck bees belongs bets betting birch bites black bleak blond bloom "
+    "botch breaks breat brood buck bytes cafe cage cake cam camb camel cameo camer camp cane cant canto cape carbon care case cave cent chad chand chau "
+    "choked chore claud cleaned cleaners clearer coc coca coch coco coke come cont cook cooke corazon cork count craw creat cuanto cult curt cust cut "
+    "deserved deserves disable drummer dub dum dummy excise excited faiths falk fend fid fin finds fine fined fing fingert finn fins flicken fol fold "
+    "foll fond foreigner fork fund funk gel gil hall hare heal heel hel held hello helm help hels hide hier hike hill hir hires hiro hive hole holl home "
+    "hone hop hopes hops hose howe hull hype immigrant insider jer jere jumper kand kell kend kid kidd kidn kil kills kin kinda kinds king kinn kins "
+    "knew knob knot knots known knox kund lack leds leg lego lens les less lest lets leve lic lich lie lied lieu life lifes lik like likes lime line "
+    "lines link lips lis listens lite liv lived liver lives loft loot los lose loses loss lot lots love lover luck lust mere mids mins mis misc mish "
+    "mism mist mits money monkeys moon moran mormon moroc morton moss mothers muss named nar neal neat ner neur nude nunes pata photo photoc photon "
+    "photons pita pon por pork port pron puma punta pura put puts putt qui quin quint quir quiz quot rack raided raise raises reck rede refugee rein "
+    "rhode rick ride rin robe roc rocks rocky rods roe role roma rome roofs rooft rook room root rope rosa rose rove rowe rubin rude ruins said salut "
+    "sand seals sed see seed sen sends sens seo sere sexes sexy shi shia shib shif shim shin ship shir shiv shout shu shun shuts sid sind singled slat "
+    "sled sli slic slide slim slip slit slope slot slug slur solid spend spit spreads steal suit sund sut synd tat taught taunt that threw thro throb "
+    "throws tics tilts tints tips tiss tit titus torch tots tough trailed trainer trains tran transc transf transl transm traps twit verte vet veter "
+    "veto vets viper vote waits waker want watts where whole whorl whose witch woman wonders wor word wore works worm worn wors would woven".split()
+) | {"better", "seit"}
 
 _KINDS = (("insult", INSULTS), ("sexual", SEXUAL), ("group", GROUPS), ("hate", DEMEANING), ("threat", THREATS))
 LEXICON = {w: (kind, weight) for kind, table in _KINDS for weight, words in table.items() for w in words.split()}
@@ -106,7 +127,7 @@ class Automaton:
 
     @staticmethod
     def allowance(term: str) -> int:
-        return 0 if len(term) < 6 else 1
+        return 0 if len(term) < 4 else 1
 
     def find(self, word: str, edits: int = 1) -> str | None:
         """The closest term, or None."""
@@ -174,9 +195,32 @@ def _variants(word: str):
 
 
 _automaton = Automaton(LEXICON)
+#: Short weak terms lie one edit from too many words; of those only two swapped letters count.
+_misspelt = Automaton(t for t, (_, weight) in LEXICON.items() if len(t) > 5 or weight >= 0.5)
 _known: dict[str, tuple[str, float] | None] = {}
 #: Share of its weight that a term keeps if a word is only one edit away from it.
 MISSPELT = 0.5
+#: Terms and what is left of them without a letter; what is one edit away shares one of these.
+_LEFT = frozenset(t[:i] + t[i + 1 :] for t in LEXICON for i in range(len(t))) | frozenset(LEXICON)
+_LESS = frozenset(t[:i] + t[i + 1 :] for t in _LEFT for i in range(len(t))) | _LEFT
+#: A strong term counts so much at least where someone is addressed.
+STRONG, ADDRESSED = 1.0, 0.9
+#: A word is ordinary in a corpus if it is in more documents than the term it is near, than FEW, and than one in RARE.
+FEW, RARE = 2, 10_000
+
+
+def _edited(f: str) -> str | None:
+    """The term that a form is one edit away from, its first letter right."""
+    if f in ORDINARY or len(f) < 4:
+        return None
+    plain, left = f.replace("?", "", 1), _LESS if "?" in f else _LEFT
+    if plain not in left and not any(plain[:i] + plain[i + 1 :] in left for i in range(len(plain))):
+        return None
+    hit = _misspelt.find(f, 1)
+    if hit and hit[0] == f[0]:
+        return hit
+    swaps = (f[:i] + f[i + 1] + f[i] + f[i + 2 :] for i in range(1, len(f) - 1))
+    return next((t for t in swaps if len(t) > 3 and t in LEXICON), None)
 
 
 def term_of(word: str) -> tuple[str, float] | None:
@@ -191,21 +235,22 @@ def term_of(word: str) -> tuple[str, float] | None:
     plain = word.isalpha()
     if 2 < len(word) <= 40 and not (plain and (word in ORDINARY or len(word) > 18)):
         letters = sum(c.isalpha() for c in word)
-        for f in sorted(_variants(word), key=len):
-            if len(f) < 3 or len(f.replace("?", "")) < 2 or f.count("?") > 2:
-                continue
+        forms = [f for f in sorted(_variants(word), key=len) if len(f) > 2 and len(f.replace("?", "")) > 1 and f.count("?") < 3]
+        for f in forms:
             if f in LEXICON:
                 found = f, 1.0
                 break
-            masked = "?" in f
-            if letters < 2 and not masked and f != word:
-                continue
-            if not masked and f in ORDINARY:
+            hit = _automaton.find(f, 0) if "?" in f else None
+            if hit:
+                found = hit, 1.0
+                break
+        masked = any("?" in f for f in forms)
+        for f in forms if not found else ():
+            if letters < 3 or ("?" in f) != masked or (masked and (f.count("?") > 1 or len(f) < 6)):
                 continue
-            tight = 0 if masked or len(f) < 6 else 1
-            hit = _automaton.find(f, tight) if masked or (plain and tight) else None
-            if hit and (masked or hit[0] == f[0]):
-                found = hit, 1.0 if masked else MISSPELT
+            hit = _edited(f)
+            if hit:
+                found = hit, MISSPELT
                 break
     _known[word] = found
     return found
@@ -268,6 +313,8 @@ def _joined(s: str) -> str:
 def _words(passage: str):
     for m in _WORD.finditer(passage):
         w = m[0].strip(".'’`!~-_=").lstrip("*#^%")
+        if w and ("_" in m[0] or "~" in m[0]) and m[0][0] not in "_~" and (tail := re.match("[_~]+", m[0][m[0].index(w) + len(w) :])):
+            w += tail[0]  # a masked last letter
         if not w:
             continue
         if "-" in w or "'" in w or "’" in w:
@@ -279,21 +326,30 @@ def _words(passage: str):
         yield m.start(), w
 
 
-def score_passage(passage: str) -> float:
-    """The weight of a passage's cues, 0 without any."""
+def score_passage(passage: str, common: frozenset[str] | None = frozenset(), near: set[str] | None = None) -> float:
+    """The weight of a passage's cues, 0 without any.
+
+    Words in common are no misspelt terms, None leaves all of those out. Plain
+    words near a term and terms found go into near.
+    """
     words = [w for _, w in _words(passage)]
+    seen = set(words)
+    address = not ADDRESS.isdisjoint(seen)
     hits: list[tuple[int, str, str, float]] = []
     for i, w in enumerate(words):
         found = term_of(w)
         if found:
             kind, weight = LEXICON[found[0]]
-            hits.append((i, found[0], kind, weight * found[1]))
+            if near is not None:
+                near.add(w if found[1] < 1 and w.isalpha() else found[0])
+            if found[1] < 1 and w.isalpha() and (common is None or w in common):
+                continue
+            share = max(found[1], ADDRESSED / weight) if found[1] < 1 and weight >= STRONG and address else found[1]
+            hits.append((i, found[0], kind, weight * share))
         elif w == "people" and i and (words[i - 1], w) in GROUP_PAIRS:
             hits.append((i, "people", "group", 0.5))
     if not hits:
         return 0.0
-    seen = set(words)
-    address = not ADDRESS.isdisjoint(seen)
     quoted = {w for q in re.findall(r"[\"“„«]([^\"”“»]+)[\"”“»]", passage) for w in q.split()}
     reported = not _REPORT.isdisjoint(seen)
     best = 0.0
@@ -316,7 +372,7 @@ def score_passage(passage: str) -> float:
     return best
 
 
-def score_text(text: str | None) -> float:
+def score_text(text: str | None, common: frozenset[str] | None = frozenset(), near: set[str] | None = None) -> float:
     """The score of the worst passage; null and empty texts score 0."""
     if not text:
         return 0.0
@@ -325,18 +381,53 @@ def score_text(text: str | None) -> float:
     for reading in _bare(folded):
         for p in _BREAK.split(_joined(reading)):
             if p and len(p) > 5:
-                best = max(best, score_passage(p))
+                best = max(best, score_passage(p, common, near))
     return round(best, 6)
 
 
-@F.pandas_udf(DoubleType())
-def abuse_score(text: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((score_text(t) for t in text), float, len(text)))
+READ = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text", pa.string()), ("score", pa.float64()), ("near", pa.list_(pa.string()))])
+
+
+def _read(batches):
+    """Scores with every misspelt term; the text and the words near terms stay where these make a difference."""
+    for b in batches:
+        texts, scores, words = b.column("text").to_pylist(), [], []
+        kept: list[str | None] = []
+        for t in texts:
+            near: set[str] = set()
+            score = score_text(t, near=near)
+            kept.append(t if any(w not in LEXICON for w in near) and score_text(t, None) < score else None)
+            scores.append(score)
+            words.append(sorted(near))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("source").cast(pa.string()), pa.array(kept, pa.string()), pa.array(scores, pa.float64()), pa.array(words, READ[4].type)], schema=READ)
+
+
+def ordinary_words(read: DataFrame) -> frozenset[str]:
+    """Words one edit from a term that the corpus uses as words of their own."""
+    # one row per term or word one edit from it, however large the corpus is
+    counts = dict(read.select(F.explode("near").alias("word")).groupBy("word").agg(F.count(F.lit(1))).collect())
+    if not any(w not in LEXICON for w in counts):
+        return frozenset()
+    least = max(FEW, read.count() // RARE)
+    return frozenset(w for w, n in counts.items() if w not in LEXICON and n > max(least, counts.get((term_of(w) or (None,))[0], 0)))
 
 
 def abuse_scores(docs: DataFrame) -> DataFrame:
     """doc_id, source, score: every document with the score of its worst passage."""
-    return docs.select("doc_id", "source", abuse_score("text").alias("score"))
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").mapInArrow(_read, "doc_id bigint, source string, text string, score double, near array<string>")
+    read = materialize(read, "abuse")
+    common = ordinary_words(read)
+
+    @F.pandas_udf(DoubleType())
+    def again(text: pd.Series) -> pd.Series:
+        return pd.Series(np.fromiter((score_text(t, common) for t in text), float, len(text)))
+
+    score = F.col("score")
+    if common:
+        touched = F.col("text").isNotNull() & F.arrays_overlap("near", F.array(*[F.lit(w) for w in sorted(common)]))
+        settled = read.where(~touched).select("doc_id", "source", score)
+        return settled.unionByName(read.where(touched).select("doc_id", "source", again("text").alias("score")))
+    return read.select("doc_id", "source", score)
 
 
 def abusive(docs: DataFrame) -> DataFrame:

@@ -82,3 +82,20 @@ def test_dollars_as_letters(text):
 @pytest.mark.parametrize("text", ["Let $a_1 = b$ and $$s^2 + h_1$$ hold.", "$$\\sum_{q=1}^{8} a_{s} s^2 \\left( f u - c k \\right)$$", "It costs $5 or $6 here, and $x$-axis values follow."])
 def test_formulas_are_no_cues(text):
     assert A.score_text(text) < A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You idoit.", "You are a moorn", "Du wohre", "you btich!", "You bastrad", "Shut up you 1d0it and get lost", "You are a scumbga, b@st@dr", "Get out, you clow_ and lose_"])
+def test_misspelt_terms(text):
+    assert A.score_text(text) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["You know where the whole shore is.", "Your carbon count, dollar and collar", "You can batch that link, your lock and your clock", "Your slot may shift, you see.", "You baissez la porte, salut"])
+def test_words_near_terms(text):
+    assert A.score_text(text) < A.THRESHOLD
+
+
+def test_ordinary_in_the_corpus(spark):
+    df = spark.createDataFrame([(i, f"You use the clowm {i}", "s") for i in range(9)] + [(20, "You idoit", "s"), (21, None, "s"), (22, "You wohre", "s")], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.score for r in A.abuse_scores(df).collect()}
+    assert A.score_text("You use the clowm 1") > 0 and all(got[i] == 0 for i in range(9))
+    assert got[20] >= A.THRESHOLD and got[22] >= A.THRESHOLD and got[21] == 0 and len(got) == 12
