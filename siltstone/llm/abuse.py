@@ -209,6 +209,26 @@ STRONG, ADDRESSED = 1.0, 0.9
 FEW, RARE = 2, 10_000
 
 
+_MASKED = re.compile(r"(?=.*[*#_%~^])[a-z](?:[a-z]|[*#_%~^])+")
+#: A mask that ends a word may be the end of emphasis.
+_ENDED = re.compile(r"[a-z]+[*_]{1,3}")
+
+
+def _by_length(word: str) -> tuple[str, float] | None:
+    """The heaviest term with the length of a masked word and its letters, each sign for one letter.
+
+    It counts fully if no other term fits, else like a misspelt one, so the
+    other cues around decide.
+    """
+    if not _MASKED.fullmatch(word):
+        return None
+    fits = [t for t in LEXICON if len(t) == len(word) and all(c == d or not d.isalpha() for c, d in zip(t, word))]
+    if not fits:
+        return None
+    sure = len(fits) == 1 and not (_ENDED.fullmatch(word) and len(word) < 4)
+    return max(fits, key=lambda t: (LEXICON[t][1], t)), 1.0 if sure else MISSPELT
+
+
 def _edited(f: str) -> str | None:
     """The term that a form is one edit away from, its first letter right."""
     if f in ORDINARY or len(f) < 4:
@@ -244,6 +264,8 @@ def term_of(word: str) -> tuple[str, float] | None:
             if hit:
                 found = hit, 1.0
                 break
+        if not found and not plain and not word[0].isdigit():
+            found = _by_length(word.translate(_SIGNS))
         masked = any("?" in f for f in forms)
         for f in forms if not found else ():
             if letters < 3 or ("?" in f) != masked or (masked and (f.count("?") > 1 or len(f) < 6)):

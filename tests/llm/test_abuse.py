@@ -99,3 +99,13 @@ def test_ordinary_in_the_corpus(spark):
     got = {r.doc_id: r.score for r in A.abuse_scores(df).collect()}
     assert A.score_text("You use the clowm 1") > 0 and all(got[i] == 0 for i in range(9))
     assert got[20] >= A.THRESHOLD and got[22] >= A.THRESHOLD and got[21] == 0 and len(got) == 12
+
+
+@pytest.mark.parametrize("text", ["You f***!", "F*** you", "You b***h.", "That w***e again", "You are such a m***n", "An a*****e like that", "What a b#####d"])
+def test_long_masks(text):
+    assert A.score_text(text) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["The f*** in this file", "Take x***, y___z and a**", "Set h____d or f**, see it", "It perd 45% de la regle, 455% of you", "A glob like m***s.rs"])
+def test_masks_without_more(text):
+    assert A.score_text(text) < A.THRESHOLD
