@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -188,12 +189,17 @@ def _variants(word: str):
         f = re.sub(r"[^a-z?]", "", f)
         if f.strip("?"):
             out.add(f)
-            if re.search(r"([a-z])\1", f):
-                out.add(re.sub(r"([a-z])\1+", r"\1\1", f))
-                out.add(re.sub(r"([a-z])\1+", r"\1", f))
+            runs = _DOUBLE.findall(f)
+            if runs:  # each run stands for one letter or two
+                for single in product((True, False), repeat=min(len(runs), 6)):
+                    each = iter(single)
+                    out.add(_DOUBLE.sub(lambda m: m[1] if next(each, True) else m[1] * 2, f))
     return out
 
 
+_RUN = re.compile(r"([^\W\d_])\1{3,}")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([a-z])\1+")
 _automaton = Automaton(LEXICON)
 #: Short weak terms lie one edit from too many words; of those only two swapped letters count.
 _misspelt = Automaton(t for t, (_, weight) in LEXICON.items() if len(t) > 5 or weight >= 0.5)
@@ -252,8 +258,9 @@ def term_of(word: str) -> tuple[str, float] | None:
     if len(_known) > 500_000:
         _known.clear()
     found = None
+    full, word = word, _RUN.sub(r"\1\1\1", word)  # a stretched letter counts as three
     plain = word.isalpha()
-    if 2 < len(word) <= 40 and not (plain and (word in ORDINARY or len(word) > 18)):
+    if 2 < len(word) <= 40 and not (plain and (word in ORDINARY or len(word) > 18 + 2 * len(_TRIPLE.findall(word)))):
         letters = sum(c.isalpha() for c in word)
         forms = [f for f in sorted(_variants(word), key=len) if len(f) > 2 and len(f.replace("?", "")) > 1 and f.count("?") < 3]
         for f in forms:
@@ -274,7 +281,7 @@ def term_of(word: str) -> tuple[str, float] | None:
             if hit:
                 found = hit, MISSPELT
                 break
-    _known[word] = found
+    _known[full] = found
     return found
 
 
@@ -402,7 +409,7 @@ def score_text(text: str | None, common: frozenset[str] | None = frozenset(), ne
     best = 0.0
     for reading in _bare(folded):
         for p in _BREAK.split(_joined(reading)):
-            if p and len(p) > 5:
+            if p:
                 best = max(best, score_passage(p, common, near))
     return round(best, 6)
 

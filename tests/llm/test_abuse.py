@@ -109,3 +109,8 @@ def test_long_masks(text):
 @pytest.mark.parametrize("text", ["The f*** in this file", "Take x***, y___z and a**", "Set h____d or f**, see it", "It perd 45% de la regle, 455% of you", "A glob like m***s.rs"])
 def test_masks_without_more(text):
     assert A.score_text(text) < A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Bitch!", "Whore.", "A plain line. slut! More.", "puta", "f" + "u" * 17 + "ck you", "wh" + "o" * 60 + "re", "You are w" + "o" * 9 + "rthl" + "e" * 9 + "ss sh" + "i" * 30 + "t"])
+def test_short_passages_and_long_words(text):
+    assert A.score_text(text) >= A.THRESHOLD
