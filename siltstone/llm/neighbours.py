@@ -2,7 +2,7 @@
 
 Centroids come from a two-level k-means on a bounded sample. A neighbour
 graph over the centroids is searched in memory (batched best-first search) for
-the lists of each vector; a vector joins its nearest list and every further
+the lists of each vector; a vector joins its two nearest lists and every further
 list whose centroid is not much farther (distance ratio), so vectors near a
 boundary are in several lists. Within a list all members are compared;
 oversized lists are split once more by the same procedure. Copies of a vector
@@ -25,6 +25,8 @@ MAX_LISTS = 16_384
 VECTORS_PER_LIST = 160
 SAMPLE_PER_LIST = 16
 MAX_REPLICAS = 3
+#: A vector that is nearly its own centroid would be in no other list by the ratio.
+LEAST_LISTS = 2
 RATIO = 1.35
 GRAPH_DEGREE = 16
 #: Lists longer than this are split before their members are compared.
@@ -155,11 +157,11 @@ class CentroidGraph:
 
 
 def choose_lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the nearest list and those within the distance ratio."""
+    """(row, list) pairs: the two nearest lists and those within the distance ratio."""
     ids, sc = graph.search(x, MAX_REPLICAS)
     dist = np.sqrt(np.maximum(2 - 2 * sc, 0))
     keep = dist <= np.maximum(dist[:, :1], 0.05) * RATIO
-    keep[:, 0] = True
+    keep[:, :LEAST_LISTS] = True
     keep &= sc > -8
     row, col = np.nonzero(keep)
     return row, ids[row, col]

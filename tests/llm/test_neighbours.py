@@ -81,3 +81,12 @@ def test_oversized_list_is_split(monkeypatch):
     assert len(got & want) / len(want) > 0.93
     same = np.tile(q[:1], (900, 1))
     assert sum(len(k) for k, *_ in M._list_members(np.arange(900), same, np.arange(900), np.arange(901, dtype=np.int32))) == 900
+
+
+def test_a_centroid_itself_is_in_two_lists():
+    rng = np.random.default_rng(6)
+    c = rng.standard_normal((50, 64)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    row, _ = M.choose_lists(M.CentroidGraph(c), c)
+    assert (np.bincount(row, minlength=50) >= 2).all()
+    assert len(M.choose_lists(M.CentroidGraph(c[:1]), c[:3])[0]) == 3
