@@ -79,16 +79,16 @@ ORDINARY = frozenset(
 ORDINARY |= frozenset(
     "bac bach backs baisser baissez bak balk bank bark bask bates bearing beasts beck bees belongs bets betting birch bites black bleak blond bloom "
     "botch breaks breat brood buck bytes cafe cage cake cam camb camel cameo camer camp cane cant canto cape carbon care case cave cent chad chand chau "
-    "choked chore claud cleaned cleaners clearer coc coca coch coco coke come cont cook cooke corazon cork count craw creat cuanto cult curt cust cut "
-    "deserved deserves disable drummer dub dum dummy excise excited faiths falk fend fid fin finds fine fined fing fingert finn fins flicken fol fold "
-    "foll fond foreigner fork fund funk gel gil hall hare heal heel hel held hello helm help hels hide hier hike hill hir hires hiro hive hole holl home "
-    "hone hop hopes hops hose howe hull hype immigrant insider jer jere jumper kand kell kend kid kidd kidn kil kills kin kinda kinds king kinn kins "
+    "choked chore claud cleaned clearer coc coca coch coco coke come cont cook cooke corazon cork count craw creat cuanto cult curt cust cut "
+    "disable drummer dub dum dummy excise excited faiths falk fend fid fin finds fine fined fing fingert finn fins flicken fol fold "
+    "foll fond fork fund funk gel gil hall hare heal heel hel held hello helm help hels hide hier hike hill hir hires hiro hive hole holl home "
+    "hone hop hopes hops hose howe hull hype insider jer jere jumper kand kell kend kid kidd kidn kil kills kin kinda kinds king kinn kins "
     "knew knob knot knots known knox kund lack leds leg lego lens les less lest lets leve lic lich lie lied lieu life lifes lik like likes lime line "
     "lines link lips lis listens lite liv lived liver lives loft loot los lose loses loss lot lots love lover luck lust mere mids mins mis misc mish "
-    "mism mist mits money monkeys moon moran mormon moroc morton moss mothers muss named nar neal neat ner neur nude nunes pata photo photoc photon "
-    "photons pita pon por pork port pron puma punta pura put puts putt qui quin quint quir quiz quot rack raided raise raises reck rede refugee rein "
+    "mism mist mits money moon moran mormon moroc morton moss muss named nar neal neat ner neur nunes pata photo photoc photon "
+    "photons pita pon por pork port pron puma punta pura put puts putt qui quin quint quir quiz quot rack raided raise raises reck rede rein "
     "rhode rick ride rin robe roc rocks rocky rods roe role roma rome roofs rooft rook room root rope rosa rose rove rowe rubin rude ruins said salut "
-    "sand seals sed see seed sen sends sens seo sere sexes sexy shi shia shib shif shim shin ship shir shiv shout shu shun shuts sid sind singled slat "
+    "sand seals sed see seed sen sends sens seo sere sexes shi shia shib shif shim shin ship shir shiv shout shu shun shuts sid sind singled slat "
     "sled sli slic slide slim slip slit slope slot slug slur solid spend spit spreads steal suit sund sut synd tat taught taunt that threw thro throb "
     "throws tics tilts tints tips tiss tit titus torch tots tough trailed trainer trains tran transc transf transl transm traps twit verte vet veter "
     "veto vets viper vote waits waker want watts where whole whorl whose witch woman wonders wor word wore works worm worn wors would woven".split()

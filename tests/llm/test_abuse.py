@@ -114,3 +114,8 @@ def test_masks_without_more(text):
 @pytest.mark.parametrize("text", ["Bitch!", "Whore.", "A plain line. slut! More.", "puta", "f" + "u" * 17 + "ck you", "wh" + "o" * 60 + "re", "You are w" + "o" * 9 + "rthl" + "e" * 9 + "ss sh" + "i" * 30 + "t"])
 def test_short_passages_and_long_words(text):
     assert A.score_text(text) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("word", ["immigrant", "foreigner", "refugee", "monkeys", "deserves"])
+def test_inflected_terms_stay(word):
+    assert A.term_of(word)
