@@ -1,160 +1,62 @@
 """Scores for abusive, hateful and sexually explicit passages in four languages.
 
-Words are cleared of disguise (other alphabets, digits and signs for letters,
-letters set apart or repeated, masked letters, invisible characters) and looked
-up in a lexicon trie by a Levenshtein automaton, so misspelled terms are found
-too. A passage scores the sum of its cues within a window; cues that are
-quoted, forbidden or turned on the speaker count less, so talk about abuse and
-self-mockery stay below the threshold.
+Words are cleared of look-alike letters and invisible characters and looked up
+in a lexicon trie by a Levenshtein automaton, which takes signs for the letters
+they stand for, masks for any letter, repeated letters for one, and one edit.
+The lexicon is a fixed list of seed terms and, where labels are at hand, the
+words that a model fitted on a bounded sample of labelled documents found to
+mark abuse. A passage is scored in windows: log-odds of its terms and of the
+words around them, terms with a target nearby (a group, a person addressed)
+more, quoted, reported and self-directed terms less.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from itertools import product
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
-from ..runtime import materialize
+from ..runtime import materialize, tokenizer_dir
+from .lexicon import ADDRESS, INTENT, KINDS, MASKS, OBJECTS, PEOPLE, REPORT, SELF, SIGNS, WEIGHTS, Automaton, pattern, vocabulary_words
 
-THRESHOLD = 1.0
-#: Words in which the cues of a passage must lie together.
+#: A document is abusive from this probability on.
+THRESHOLD = 0.5
+#: Words that are scored together; longer passages in windows that overlap by half.
 WINDOW = 24
-
-# Cues by kind and weight. A weight of 1 is abuse by itself.
-INSULTS = {
-    1.2: "fuck fucking fucker motherfucker bastard asshole dickhead scumbag dumbass shithead bitch whore slut cunt wanker twat arschloch vollidiot "
-    "schwachkopf wichser hurensohn fotze schlampe verpiss connard salope encule gilipollas cabron pendejo puta",
-    1.1: "shit shitty moron idiot cretin imbecile imbecil idiota trottel abruti foutre",
-    0.8: "jerk loser coward merde mierda gueule fresse debile hell",
-    0.7: "clown parasite goddamn brainless pathetic worthless lousy disgusting damlicher bloder",
-    0.6: "inutil diablo dummer elender",
-    0.4: "useless stupid shut lost callate vete pauvre espece taugt",
-}
-SEXUAL = {
-    1.2: "porn porno pornos nudes horny pussy tits ficken nacktbilder follar cachondo baiser blowjob dildo",
-    1.0: "cock lick ass",
-    0.8: "moaned geil xxx",
-    0.6: "breasts bra naked nackt desnuda nue sexe sexo",
-    0.5: "lap excite slid singles sex",
-    0.4: "legs sit wet",
-    0.3: "everything spread inside rode ropa quito caliente chaud photos fotos tonight touch",
-}
-GROUPS = {
-    0.5: "women immigrants refugees foreigners islanders gay trans disabled folk faith frauen fluchtlinge auslander femmes refugies etrangers mujeres inmigrantes extranjeros"
-}
-DEMEANING = {
-    0.9: "vermin vermine ungeziefer",
-    0.6: "thieves gutter beating diebe voleurs ladrones basura dumm betes tontas",
-    0.5: "ruin cleaner hire cheat blood rid rausgeworfen echarlos virer dumb",
-    0.4: "steals lies allowed deserve thrown came dehors",
-    0.2: "belong kind near send world wonder knows everyone work weg fuera",
-}
-THREATS = {
-    0.9: "yourself monkey",
-    0.5: "jumped crawl ashamed fingers choke",
-    0.4: "miss roof rock mother raised live watch hope break",
-    0.3: "kill throw quit trained back find",
-    0.2: "know already anything whoever listen wants",
-}
-#: Pairs of neighbouring words that name a group only together.
-GROUP_PAIRS = frozenset({("poor", "people"), ("old", "people")})
-ADDRESS = frozenset("you your youre yourself du dich dir dein deine deiner deinem tu ta te toi vous votre eres".split())
-#: Ordinary words one edit away from a cue.
-ORDINARY = frozenset(
-    "finger breast cocktail wonder wander world worlds hired fire hell shell spread trained training drained hoped shot short shut shift shirt back kindly send sent mind "
-    "beaten beating heating seating thrown throne crown brown clown vermine cheap cheat cheats chest chat dump dumped thumb tests texts list lists miss mass misses "
-    "walker walkers banker single blood flood foutre coutre livre gray way train tram find bind mind folks bitch pitch batch batches ditch switch stitch bass pass class lass mass lap map cap gap tap "
-    "lick click pick tick stick lock clock rock sock dock horn horns morn porn born corn poem sits site lies ties files rides rode code mode node nodes break bread brake "
-    "legs logs lags ruin rain run rid red rod grid trid hire wire here gutter butter utter cutter guttered parasites choke chose choice quit quiet quite watch match catch patch "
-    "listen listed lister lost last list loser closer lower user poser laser losers coward toward howard forward jerk perk clerk cretin certain creation faith fait faire merde merge mierda "
-    "miss mess idiom idioms patent pathetic basura debil debiles trop inutile inutiles utile elender blender bloder dummer summer hummer imbecile imbeciles vete vite nue rue vue nues".split()
-)
-#: The same from the words of the public vocabularies.
-ORDINARY |= frozenset(
-    "bac bach backs baisser baissez bak balk bank bark bask bates bearing beasts beck bees belongs bets betting birch bites black bleak blond bloom "
-    "botch breaks breat brood buck bytes cafe cage cake cam camb camel cameo camer camp cane cant canto cape carbon care case cave cent chad chand chau "
-    "choked chore claud cleaned clearer coc coca coch coco coke come cont cook cooke corazon cork count craw creat cuanto cult curt cust cut "
-    "disable drummer dub dum dummy excise excited faiths falk fend fid fin finds fine fined fing fingert finn fins flicken fol fold "
-    "foll fond fork fund funk gel gil hall hare heal heel hel held hello helm help hels hide hier hike hill hir hires hiro hive hole holl home "
-    "hone hop hopes hops hose howe hull hype insider jer jere jumper kand kell kend kid kidd kidn kil kills kin kinda kinds king kinn kins "
-    "knew knob knot knots known knox kund lack leds leg lego lens les less lest lets leve lic lich lie lied lieu life lifes lik like likes lime line "
-    "lines link lips lis listens lite liv lived liver lives loft loot los lose loses loss lot lots love lover luck lust mere mids mins mis misc mish "
-    "mism mist mits money moon moran mormon moroc morton moss muss named nar neal neat ner neur nunes pata photo photoc photon "
-    "photons pita pon por pork port pron puma punta pura put puts putt qui quin quint quir quiz quot rack raided raise raises reck rede rein "
-    "rhode rick ride rin robe roc rocks rocky rods roe role roma rome roofs rooft rook room root rope rosa rose rove rowe rubin rude ruins said salut "
-    "sand seals sed see seed sen sends sens seo sere sexes shi shia shib shif shim shin ship shir shiv shout shu shun shuts sid sind singled slat "
-    "sled sli slic slide slim slip slit slope slot slug slur solid spend spit spreads steal suit sund sut synd tat taught taunt that threw thro throb "
-    "throws tics tilts tints tips tiss tit titus torch tots tough trailed trainer trains tran transc transf transl transm traps twit verte vet veter "
-    "veto vets viper vote waits waker want watts where whole whorl whose witch woman wonders wor word wore works worm worn wors would woven".split()
-) | {"better", "seit"}
-
-_KINDS = (("insult", INSULTS), ("sexual", SEXUAL), ("group", GROUPS), ("hate", DEMEANING), ("threat", THREATS))
-LEXICON = {w: (kind, weight) for kind, table in _KINDS for weight, words in table.items() for w in words.split()}
+#: Log-odds of a window without any term.
+BIAS = -4.0
+#: Share of its weight that a term keeps if a word is one edit away, or a mask may hide several terms.
+MISSPELT = 0.85
+#: Share that a term keeps if it is quoted where words are reported, and an insult if it is turned on the speaker.
+QUOTED, ON_SELF = 0.15, 0.35
+#: Log-odds of what stands together, before any label is seen.
+TOGETHER = {"+address": 0.7, "+group": 2.5, "+target": 3.2, "+intent": 0.6}
+#: A word is ordinary in a corpus if it is in more documents than the term it is near, than FEW, and than one in RARE.
+FEW, RARE = 2, 10_000
+#: Bounds of the sample the model is fitted on: labelled documents, and the length of each in characters.
+MAX_LABELLED, MAX_CHARS = 20_000, 20_000
+#: A word enters the model from so many documents of the sample on, with a weight above 0 only if it is in more
+#: documents called abusive than chance explains by so many standard deviations; from LEARNT on it joins the lexicon.
+SUPPORT, SURE, LEARNT = 4, 3.0, 0.5
+#: Rounds of choosing each document's worst window, gradient steps in each, and the pull of every weight to its prior.
+ROUNDS, STEPS, RIDGE = 5, 150, 0.25
 
 _LOOKALIKE = str.maketrans(
     "аеорсухіјѕԁһкмтвнгпиαεορτυνικß",
     "aeopcyxijsdhkmtbhrnuaeoptuviks",
 )
-_SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e", "+": "t"})
 _INVISIBLE = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _MOJIBAKE = re.compile("[ÃÂ][\u0080-¿Œ-™]")
 _APART = re.compile(r"(?<![^\W_])([^\W\d_])(?:([.\-_*])[^\W_])(?:\2[^\W_])+\2?(?![^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){2,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\s\"“”„«»()\[\]{}<>,;:?¿¡/\\]+")
 _BREAK = re.compile(r"[.!?]+[\"'”»)*_]*(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*+>#]|\d+[.)]|[^\W\d_]+ ?(?:wrote)?:))")
-_REPORT = frozenset("word words term terms called call insult insults forbids forbid forbidden quote quoted policy rule conduct report reported such".split())
-
-
-class Automaton:
-    """Levenshtein automaton over a lexicon trie.
-
-    `?` in a word stands for any one letter. Edits (one letter added, dropped,
-    replaced, or two neighbours swapped) are allowed by the length of the term.
-    """
-
-    def __init__(self, terms):
-        self.root: dict = {}
-        for t in terms:
-            node = self.root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-
-    @staticmethod
-    def allowance(term: str) -> int:
-        return 0 if len(term) < 4 else 1
-
-    def find(self, word: str, edits: int = 1) -> str | None:
-        """The closest term, or None."""
-        best: tuple[int, str] | None = None
-        n = len(word)
-        stack = [(self.root, "", list(range(n + 1)), None, "")]
-        while stack:
-            node, prefix, row, above, last = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if row[n] <= min(edits, self.allowance(child)) and (best is None or row[n] < best[0]):
-                        best = (row[n], child)
-                    continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    w = word[j - 1]
-                    cost = 0 if w == c or w == "?" or (w == "i" and c == "l" and "1" in self.marks) else 1
-                    v = min(new[j - 1] + 1, row[j] + 1, row[j - 1] + cost)
-                    if above is not None and j > 1 and w == last and word[j - 2] == c:
-                        v = min(v, above[j - 2] + 1)
-                    new.append(v)
-                if min(new) <= edits:
-                    stack.append((child, prefix + c, new, row, c))
-        return best[1] if best else None
-
-    marks = ""
 
 
 def fold(s: str) -> str:
@@ -178,113 +80,6 @@ def fold(s: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c)).translate(_LOOKALIKE)
 
 
-def _variants(word: str):
-    """Plain letter forms that a disguised word may stand for."""
-    signs = word.translate(_SIGNS) if any(c.isalpha() for c in word) or "$" in word or "@" in word else word
-    forms = {signs}
-    for run in set(re.findall(r"[*#_%~^]{1,4}", signs)):
-        forms = {f.replace(run, "?" * k) for f in forms for k in range(1, len(run) + 1)} | {f.replace(run, "") for f in forms}
-    out = set()
-    for f in forms:
-        f = re.sub(r"[^a-z?]", "", f)
-        if f.strip("?"):
-            out.add(f)
-            runs = _DOUBLE.findall(f)
-            if runs:  # each run stands for one letter or two
-                for single in product((True, False), repeat=min(len(runs), 6)):
-                    each = iter(single)
-                    out.add(_DOUBLE.sub(lambda m: m[1] if next(each, True) else m[1] * 2, f))
-    return out
-
-
-_RUN = re.compile(r"([^\W\d_])\1{3,}")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_DOUBLE = re.compile(r"([a-z])\1+")
-_automaton = Automaton(LEXICON)
-#: Short weak terms lie one edit from too many words; of those only two swapped letters count.
-_misspelt = Automaton(t for t, (_, weight) in LEXICON.items() if len(t) > 5 or weight >= 0.5)
-_known: dict[str, tuple[str, float] | None] = {}
-#: Share of its weight that a term keeps if a word is only one edit away from it.
-MISSPELT = 0.5
-#: Terms and what is left of them without a letter; what is one edit away shares one of these.
-_LEFT = frozenset(t[:i] + t[i + 1 :] for t in LEXICON for i in range(len(t))) | frozenset(LEXICON)
-_LESS = frozenset(t[:i] + t[i + 1 :] for t in _LEFT for i in range(len(t))) | _LEFT
-#: A strong term counts so much at least where someone is addressed.
-STRONG, ADDRESSED = 1.0, 0.9
-#: A word is ordinary in a corpus if it is in more documents than the term it is near, than FEW, and than one in RARE.
-FEW, RARE = 2, 10_000
-
-
-_MASKED = re.compile(r"(?=.*[*#_%~^])[a-z](?:[a-z]|[*#_%~^])+")
-#: A mask that ends a word may be the end of emphasis.
-_ENDED = re.compile(r"[a-z]+[*_]{1,3}")
-
-
-def _by_length(word: str) -> tuple[str, float] | None:
-    """The heaviest term with the length of a masked word and its letters, each sign for one letter.
-
-    It counts fully if no other term fits, else like a misspelt one, so the
-    other cues around decide.
-    """
-    if not _MASKED.fullmatch(word):
-        return None
-    fits = [t for t in LEXICON if len(t) == len(word) and all(c == d or not d.isalpha() for c, d in zip(t, word))]
-    if not fits:
-        return None
-    sure = len(fits) == 1 and not (_ENDED.fullmatch(word) and len(word) < 4)
-    return max(fits, key=lambda t: (LEXICON[t][1], t)), 1.0 if sure else MISSPELT
-
-
-def _edited(f: str) -> str | None:
-    """The term that a form is one edit away from, its first letter right."""
-    if f in ORDINARY or len(f) < 4:
-        return None
-    plain, left = f.replace("?", "", 1), _LESS if "?" in f else _LEFT
-    if plain not in left and not any(plain[:i] + plain[i + 1 :] in left for i in range(len(plain))):
-        return None
-    hit = _misspelt.find(f, 1)
-    if hit and hit[0] == f[0]:
-        return hit
-    swaps = (f[:i] + f[i + 1] + f[i] + f[i + 2 :] for i in range(1, len(f) - 1))
-    return next((t for t in swaps if len(t) > 3 and t in LEXICON), None)
-
-
-def term_of(word: str) -> tuple[str, float] | None:
-    """The lexicon term a folded word stands for, and how much of its weight counts."""
-    if word in LEXICON:
-        return word, 1.0
-    if word in _known:
-        return _known[word]
-    if len(_known) > 500_000:
-        _known.clear()
-    found = None
-    full, word = word, _RUN.sub(r"\1\1\1", word)  # a stretched letter counts as three
-    plain = word.isalpha()
-    if 2 < len(word) <= 40 and not (plain and (word in ORDINARY or len(word) > 18 + 2 * len(_TRIPLE.findall(word)))):
-        letters = sum(c.isalpha() for c in word)
-        forms = [f for f in sorted(_variants(word), key=len) if len(f) > 2 and len(f.replace("?", "")) > 1 and f.count("?") < 3]
-        for f in forms:
-            if f in LEXICON:
-                found = f, 1.0
-                break
-            hit = _automaton.find(f, 0) if "?" in f else None
-            if hit:
-                found = hit, 1.0
-                break
-        if not found and not plain and not word[0].isdigit():
-            found = _by_length(word.translate(_SIGNS))
-        masked = any("?" in f for f in forms)
-        for f in forms if not found else ():
-            if letters < 3 or ("?" in f) != masked or (masked and (f.count("?") > 1 or len(f) < 6)):
-                continue
-            hit = _edited(f)
-            if hit:
-                found = hit, MISSPELT
-                break
-    _known[full] = found
-    return found
-
-
 _BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|h[1-6]|br|div|pre|tr|td|table|blockquote)\b[^<>]{0,200}>")
 _TAG = re.compile(r"</?[a-z][a-z0-9-]*(?:\s[^<>]{0,200})?/?>")
 _MATH = re.compile(r"\$\$[^$]{1,400}\$\$|\$(?! )[^$\n]{1,200}(?<! )\$(?!\d)|\\\([^\n]{1,200}?\\\)|\\\[.{1,400}?\\\]", re.S)
@@ -325,10 +120,10 @@ def _join_apart(m: re.Match) -> str:
 
 
 def _join_spaced(m: re.Match) -> str:
-    """Letters set apart by blanks as one word; where words run together, the longest term in them apart."""
+    """Letters set apart by blanks as one word; where words run together, the longest seed term in them apart."""
     s = m[0].replace(" ", "")
-    if s not in LEXICON:
-        t = max((t for t in LEXICON if len(t) > 3 and t in s), key=len, default="")
+    if s not in KINDS:
+        t = max((t for t in KINDS if len(t) > 3 and t in s), key=len, default="")
         if t:
             a, b = s.split(t, 1)
             s = f"{a} {t} {b}".strip()
@@ -355,121 +150,411 @@ def _words(passage: str):
         yield m.start(), w
 
 
-def score_passage(passage: str, common: frozenset[str] | None = frozenset(), near: set[str] | None = None) -> float:
-    """The weight of a passage's cues, 0 without any.
+# --- words and terms ------------------------------------------------------------------------------
 
-    Words in common are no misspelt terms, None leaves all of those out. Plain
-    words near a term and terms found go into near.
+_ENDINGS = ("s", "es", "e", "n", "en", "er", "r", "in", "ed", "ing")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+class Matcher:
+    """Terms that words stand for; every distinct word is looked up once.
+
+    terms go into the trie and are found misspelt or disguised, further words
+    only as they are or with signs for letters. A plain word is no misspelt
+    term if it is a word of the vocabulary.
     """
-    words = [w for _, w in _words(passage)]
-    seen = set(words)
-    address = not ADDRESS.isdisjoint(seen)
-    hits: list[tuple[int, str, str, float]] = []
-    for i, w in enumerate(words):
-        found = term_of(w)
-        if found:
-            kind, weight = LEXICON[found[0]]
-            if near is not None:
-                near.add(w if found[1] < 1 and w.isalpha() else found[0])
-            if found[1] < 1 and w.isalpha() and (common is None or w in common):
-                continue
-            share = max(found[1], ADDRESSED / weight) if found[1] < 1 and weight >= STRONG and address else found[1]
-            hits.append((i, found[0], kind, weight * share))
-        elif w == "people" and i and (words[i - 1], w) in GROUP_PAIRS:
-            hits.append((i, "people", "group", 0.5))
-    if not hits:
-        return 0.0
-    quoted = {w for q in re.findall(r"[\"“„«]([^\"”“»]+)[\"”“»]", passage) for w in q.split()}
-    reported = not _REPORT.isdisjoint(seen)
-    best = 0.0
-    for a in range(len(hits)):
-        total, used, group = 0.0, set(), False
-        for i, t, kind, weight in hits[a:]:
-            if i - hits[a][0] > WINDOW:
-                break
-            if t in used or (kind == "group" and group):
-                continue
-            used.add(t)
-            group |= kind == "group"
-            if reported and words[i] in quoted:
-                weight *= 0.3
-            if kind == "insult" and not address and not {"i", "im", "my", "ich", "mein", "je", "mon", "ma", "yo", "mi"}.isdisjoint(words[max(0, i - 4) : i]):
-                weight *= 0.4
-            total += weight
-        if used:
-            best = max(best, total + 0.1 * address)
-    return best
-
-
-def score_text(text: str | None, common: frozenset[str] | None = frozenset(), near: set[str] | None = None) -> float:
-    """The score of the worst passage; null and empty texts score 0."""
+
+    def __init__(self, terms: Iterable[str], words: Iterable[str] = (), vocabulary: frozenset[str] = frozenset()):
+        self.terms = frozenset(terms)
+        self.words = frozenset(words) | self.terms
+        self.vocabulary = vocabulary
+        self.trie = Automaton(self.terms)
+        #: What is left of a term without a letter; words one edit apart share one of these.
+        self.left = self.terms | {t[:i] + t[i + 1 :] for t in self.terms for i in range(len(t))}
+        self.known: dict[str, tuple[str, float] | None] = {}
+
+    def _weight(self, term: str) -> float:
+        return WEIGHTS[KINDS[term][0]] if term in KINDS else 0.0
+
+    def __call__(self, word: str) -> tuple[str, float] | None:
+        """The term or word a folded word stands for and the share of its weight that counts."""
+        if word in self.words:
+            return word, 1.0
+        try:
+            return self.known[word]
+        except KeyError:
+            if len(self.known) > 300_000:
+                self.known.clear()
+            found = self.known[word] = self._look(word)
+            return found
+
+    def _look(self, word: str) -> tuple[str, float] | None:
+        if word.isalpha():
+            for end in _ENDINGS:
+                stem = word[: -len(end)]
+                if word.endswith(end) and len(stem) > 2 and stem in self.terms:
+                    return stem, 1.0
+            if word in self.vocabulary or len(word) < 4:
+                return None
+            short = re.sub(r"(.)\1+", r"\1", word)
+            stretched = short != word and re.search(r"(.)\1\1", word)
+            if not stretched and word not in self.left and not any(word[:i] + word[i + 1 :] in self.left for i in range(len(word))):
+                return None
+            return self._nearest(word, plain=True)
+        letters = sum(1 for c in word if c.isalpha())
+        if letters < 1 or not all(c.isalpha() or c in SIGNS or c in MASKS for c in word):
+            word = "".join(c for c in word if c.isalpha() or c in SIGNS or c in MASKS)
+            if not word or letters < 1:
+                return None
+        masked = any(c in MASKS for c in word)
+        if masked and letters < 2 and sum(c in MASKS for c in word) < 3:
+            return None
+        found = self._nearest(word, plain=False)
+        if not masked and (not found or found[1] < 1):
+            # words that are no terms count only as they are spelled
+            found = next(((f, 1.0) for f in _spelled(word) if f in self.words and f not in self.terms), found)
+        return found
+
+    def _nearest(self, word: str, plain: bool) -> tuple[str, float] | None:
+        masked = not plain and any(c in MASKS for c in word)
+        core = word.strip(MASKS) if masked and word[0] in MASKS else word
+        found = self.trie.find(pattern(core), 0 if masked and len(core) < 6 else 1)
+        exact = [t for d, t in found if d == 0]
+        if masked:
+            shown = [c for c in core if c not in MASKS]
+            exact = [t for t in exact if len(t) >= len(shown) and len(t) >= 3]
+        if exact:
+            best = max(exact, key=lambda t: (self._weight(t), len(t), t))
+            sure = not masked or (len(exact) == 1 and len(best) > 3)
+            return best, 1.0 if sure else MISSPELT
+        first = next((c for c in word if c.isalpha() or c in SIGNS), "")
+        near = [t for d, t in found if t[0] in SIGNS.get(first, first) and len(t) > (4 if self._weight(t) < 1.5 or not plain else 3)]
+        if not plain and sum(1 for c in word if c.isalpha()) < 3:
+            return None
+        if near:
+            return max(near, key=lambda t: (self._weight(t), t)), MISSPELT
+        return None
+
+
+def _spelled(word: str) -> list[str]:
+    """Spellings of a word with letters for its signs (two where a sign is read two ways)."""
+    out = [""]
+    for c in word:
+        opts = SIGNS.get(c, c)
+        out = [o + x for o in out for x in opts] if len(out) < 16 else [o + opts[0] for o in out]
+    return out
+
+
+# --- windows and their features -----------------------------------------------------------------
+
+
+@dataclass
+class Model:
+    """Weights of terms and words, and the seed and learnt terms of the trie."""
+
+    bias: float = BIAS
+    weights: dict[str, float] = field(default_factory=dict)
+    terms: frozenset[str] = frozenset(KINDS)
+
+    def matcher(self, vocabulary: frozenset[str]) -> Matcher:
+        return Matcher(self.terms, [*self.weights, *ADDRESS, *SELF, *INTENT, *OBJECTS, *PEOPLE, *REPORT], vocabulary)
+
+    def weight(self, key: str) -> float:
+        w = self.weights.get(key)
+        return prior(key) if w is None else w
+
+
+def prior(key: str) -> float:
+    if key in TOGETHER:
+        return TOGETHER[key]
+    return WEIGHTS[KINDS[key][0]] if key in KINDS else 0.0
+
+
+_QUOTED = re.compile(r"[\"“„«']([^\"“”„«»']+)[\"”»']")
+
+
+def features(tokens: list[str], found: list[tuple[str, float] | None], quoted: frozenset[str]) -> dict[str, float]:
+    """Key to share of what a window holds: terms and words, and what stands together in it."""
+    out: dict[str, float] = {}
+    keys = [f[0] if f else "" for f in found]
+    here = set(keys)
+    addressed = not here.isdisjoint(ADDRESS)
+    reported = bool(quoted) and not here.isdisjoint(REPORT)
+    group = demeaned = target = hurt = False
+    for i, f in enumerate(found):
+        if f is None:
+            continue
+        key, share = f
+        kinds = KINDS.get(key)
+        if kinds:
+            if reported and tokens[i] in quoted:
+                share *= QUOTED
+            if kinds[0] in ("insult", "mild", "vulgar") and not addressed and not SELF.isdisjoint(keys[max(0, i - 4) : i]):
+                share *= ON_SELF
+            if share > 0.5:
+                group |= "group" in kinds
+                demeaned |= "demean" in kinds
+                hurt |= kinds[0] in ("insult", "vulgar", "slur", "mild")
+                if "threat" in kinds and not OBJECTS.isdisjoint(keys[i + 1 : i + 3]):
+                    target = True
+        elif key == "people" and i and keys[i - 1] in PEOPLE:
+            group = True
+        if share > out.get(key, 0.0):
+            out[key] = share
+        if i and keys[i - 1]:
+            out[f"{keys[i - 1]} {key}"] = share
+    if hurt and addressed:
+        out["+address"] = 1.0
+    if group and demeaned:
+        out["+group"] = 1.0
+    if target:
+        out["+target"] = 1.0
+        if not here.isdisjoint(INTENT):
+            out["+intent"] = 1.0
+    return out
+
+
+def windows(text: str | None):
+    """Lists of words of a text that are scored together, each with the words in quotation marks."""
     if not text:
-        return 0.0
-    folded = fold(text)
-    best = 0.0
-    for reading in _bare(folded):
+        return
+    for reading in _bare(fold(text)):
         for p in _BREAK.split(_joined(reading)):
-            if p:
-                best = max(best, score_passage(p, common, near))
-    return round(best, 6)
+            if not p:
+                continue
+            words = [w for _, w in _words(p)]
+            if not words:
+                continue
+            quoted = frozenset(w for q in _QUOTED.findall(p) for w in q.replace(",", " ").split()) if '"' in p or "“" in p or "«" in p or "„" in p or "'" in p else frozenset()
+            for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+                yield words[at : at + WINDOW], quoted
 
 
-READ = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text", pa.string()), ("score", pa.float64()), ("near", pa.list_(pa.string()))])
+class Scorer:
+    """Scores texts by a model."""
+
+    def __init__(self, model: Model, vocabulary: frozenset[str] = frozenset(), common: frozenset[str] | None = frozenset()):
+        self.model, self.common = model, common
+        self.match = model.matcher(vocabulary)
 
+    def _found(self, words: list[str], near: set[str] | None) -> list[tuple[str, float] | None]:
+        out = [self.match(w) for w in words]
+        for i, f in enumerate(out):
+            if f and f[1] < 1 and words[i].isalpha():
+                if near is not None:
+                    near.add(words[i])
+                if self.common is None or words[i] in self.common:
+                    out[i] = None
+            elif near is not None and f and f[0] in self.model.terms:
+                near.add(f[0])
+        return out
 
-def _read(batches):
-    """Scores with every misspelt term; the text and the words near terms stay where these make a difference."""
-    for b in batches:
-        texts, scores, words = b.column("text").to_pylist(), [], []
-        kept: list[str | None] = []
-        for t in texts:
-            near: set[str] = set()
-            score = score_text(t, near=near)
-            kept.append(t if any(w not in LEXICON for w in near) and score_text(t, None) < score else None)
-            scores.append(score)
-            words.append(sorted(near))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("source").cast(pa.string()), pa.array(kept, pa.string()), pa.array(scores, pa.float64()), pa.array(words, READ[4].type)], schema=READ)
+    def log_odds(self, words: list[str], quoted: frozenset[str] = frozenset(), near: set[str] | None = None) -> float:
+        w = self.model.weight
+        return self.model.bias + sum(w(k) * s for k, s in features(words, self._found(words, near), quoted).items())
 
+    def __call__(self, text: str | None, near: set[str] | None = None) -> float:
+        """The probability that the worst window is abusive; null and empty texts score 0."""
+        z = max((self.log_odds(w, q, near) for w, q in windows(text)), default=-math.inf)
+        return round(1 / (1 + math.exp(min(50.0, -z))), 6) if z > -50 else 0.0
 
-def ordinary_words(read: DataFrame) -> frozenset[str]:
+
+_plain = None
+
+
+def score_text(text: str | None, model: Model | None = None, vocabulary: frozenset[str] | None = None) -> float:
+    """The score of one text, by the seed lexicon alone or by a fitted model."""
+    global _plain
+    words = vocabulary_words(tokenizer_dir()) if vocabulary is None else vocabulary
+    if model is not None:
+        return Scorer(model, words)(text)
+    if _plain is None:
+        _plain = Scorer(Model(), words)
+    return _plain(text)
+
+
+# --- fitting ----------------------------------------------------------------------------------------
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from labelled documents (labels: doc_id, rater, toxic).
+
+    At most MAX_LABELLED labelled documents of at most MAX_CHARS characters
+    are used, chosen by a hash of their id; their windows come to the driver
+    as words. Each rater's word counts once per document. A document is taken
+    for as bad as its worst window, and ratings for wrong as often as raters
+    of one document disagree. Without labels the seed lexicon's weights stay.
+    """
+    said = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "rater", "toxic").distinct()
+    said = said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("bad"))
+    kept = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(kept.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id").select("doc_id", "text", "n", "bad")
+
+    def read(batches):
+        for b in batches:
+            out: list[list[str]] = []
+            for t in b.column("text").to_pylist():
+                out.append(["\x1f".join(w) + "\x1e" + "\x1f".join(q) for w, q in windows(t)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), b.column("bad"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "n", "bad", "windows"])
+
+    got = rows.mapInArrow(read, "doc_id bigint, n bigint, bad bigint, windows array<string>").toArrow()
+    got = got.sort_by("doc_id")
+    texts_ = [[tuple(x.split("\x1f") if x else [] for x in w.split("\x1e")) for w in d] for d in got.column("windows").to_pylist()]
+    return fit_windows(texts_, np.asarray(got.column("n"), dtype=float), np.asarray(got.column("bad"), dtype=float), vocabulary_words(tokenizer_dir(docs.sparkSession)))
+
+
+def fit_windows(texts: list, n: np.ndarray, bad: np.ndarray, vocabulary: frozenset[str]) -> Model:
+    """texts: per document its windows, (words, quoted words) each; n ratings of it, `bad` of them toxic."""
+    if not len(n) or not bad.sum() or bad.sum() == n.sum():
+        return Model()
+    plain = Matcher(KINDS, [*ADDRESS, *SELF, *INTENT, *OBJECTS, *PEOPLE, *REPORT], vocabulary)
+    # words of the model: those in enough documents of the sample, as spelled or with signs for letters
+    support: dict[str, int] = {}
+    for d in texts:
+        for w in {x for words, _ in d for x in words if x.isalpha() and len(x) > 1}:
+            support[w] = support.get(w, 0) + 1
+    words = {w for w, k in support.items() if k >= SUPPORT}
+    both: dict[str, int] = {}
+    for d in texts:
+        for p in {f"{a} {b}" for w, _ in d for a, b in zip(w, w[1:]) if a in words and b in words}:
+            both[p] = both.get(p, 0) + 1
+    pairs = {p for p, k in both.items() if k >= SUPPORT}
+    match = Matcher(KINDS, words | plain.words, vocabulary)
+    index: dict[str, int] = {}
+    ids, shares, starts, owner = [], [], [0], []
+    for i, d in enumerate(texts):
+        for tokens, quoted in d:
+            for k, s in features(tokens, [match(t) for t in tokens], frozenset(quoted)).items():
+                if " " in k and k not in pairs:
+                    continue
+                ids.append(index.setdefault(k, len(index)))
+                shares.append(s)
+            starts.append(len(ids))
+            owner.append(i)
+    if not ids:
+        return Model()
+    ids, shares, starts, owner = np.array(ids), np.array(shares), np.array(starts), np.array(owner)
+    row = np.repeat(np.arange(len(owner)), np.diff(starts))
+    base = np.array([prior(k) for k in index])
+    # ratings are wrong with the rate at which raters of one document disagree
+    twice = n > 1
+    apart = (2 * bad * (n - bad) / np.maximum(n * (n - 1), 1))[twice].mean() if twice.any() else 0.1
+    wrong = float(np.clip((1 - math.sqrt(max(0.0, 1 - 2 * apart))) / 2, 0.01, 0.2))
+    # to begin with: how much more often a word stands in documents called toxic
+    pair = np.unique(np.stack([ids, owner[row]]), axis=1)
+    in_docs = np.bincount(pair[0], minlength=len(index))
+    in_bad = np.bincount(pair[0], weights=(bad / n)[pair[1]], minlength=len(index))
+    rate = (bad / n).mean()
+    lift = np.log((in_bad + 2 * rate) / (in_docs + 2)) - np.log(rate)
+    seed = np.array([k in KINDS or k in TOGETHER for k in index])
+    telling = (lift > 0.5) & (in_bad - rate * in_docs > SURE * np.sqrt(in_docs * rate * (1 - rate)))
+    w = base + np.where(telling, lift, 0)
+    # words whose lift may be chance can only speak against abuse
+    most = np.where(telling | seed, np.inf, base)
+    b = BIAS
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    who = owner[first]
+    for _ in range(ROUNDS):
+        z = np.bincount(row, weights=w[ids] * shares, minlength=len(owner)) + b
+        # the worst window of every document
+        order = np.lexsort((-z, owner))
+        worst = order[np.searchsorted(owner[order], who)]
+        slot = np.full(len(owner), -1)
+        slot[worst] = np.arange(len(worst))
+        use = slot[row] >= 0
+        r, c, s = slot[row[use]], ids[use], shares[use]
+        y, m = bad[who], n[who]
+        gw, gb = np.full(len(w), 1e-6), 1e-6
+        for _ in range(STEPS):
+            z = np.bincount(r, weights=w[c] * s, minlength=len(who)) + b
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            q = wrong + (1 - 2 * wrong) * p
+            dz = (y / q - (m - y) / (1 - q)) * (1 - 2 * wrong) * p * (1 - p)
+            g = np.bincount(c, weights=dz[r] * s, minlength=len(w)) - RIDGE * (w - base)
+            h = dz.sum() - RIDGE * (b - BIAS)
+            gw += g * g
+            gb += h * h
+            w = np.minimum(w + 0.3 * g / np.sqrt(gw), most)
+            b = min(b + 0.3 * h / math.sqrt(gb), BIAS)
+    weights = {k: round(float(w[i]), 4) for k, i in index.items() if abs(w[i] - base[i]) > 0.01}
+    learnt = {k for k, x in weights.items() if x >= LEARNT and k.isalpha() and len(k) > 3}
+    return Model(round(float(b), 4), weights, frozenset(KINDS) | learnt)
+
+
+# --- documents ----------------------------------------------------------------------------------
+
+READ = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("text", pa.string()), ("score", pa.float64()), ("near", pa.list_(pa.string()))])
+
+
+def ordinary_words(read: DataFrame, model: Model, vocabulary: frozenset[str]) -> frozenset[str]:
     """Words one edit from a term that the corpus uses as words of their own."""
-    # one row per term or word one edit from it, however large the corpus is
+    # a row per term or word one edit from it, however large the corpus is
     counts = dict(read.select(F.explode("near").alias("word")).groupBy("word").agg(F.count(F.lit(1))).collect())
-    if not any(w not in LEXICON for w in counts):
+    if not any(w not in model.terms for w in counts):
         return frozenset()
     least = max(FEW, read.count() // RARE)
-    return frozenset(w for w, n in counts.items() if w not in LEXICON and n > max(least, counts.get((term_of(w) or (None,))[0], 0)))
-
+    match = model.matcher(vocabulary)
+    return frozenset(w for w, n in counts.items() if w not in model.terms and n > max(least, counts.get((match(w) or (None,))[0], 0)))
 
-def abuse_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, source, score: every document with the score of its worst passage."""
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").mapInArrow(_read, "doc_id bigint, source string, text string, score double, near array<string>")
-    read = materialize(read, "abuse")
-    common = ordinary_words(read)
 
-    @F.pandas_udf(DoubleType())
-    def again(text: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((score_text(t, common) for t in text), float, len(text)))
+def abuse_scores(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, score: every document with the score of its worst window.
 
-    score = F.col("score")
-    if common:
-        touched = F.col("text").isNotNull() & F.arrays_overlap("near", F.array(*[F.lit(w) for w in sorted(common)]))
-        settled = read.where(~touched).select("doc_id", "source", score)
-        return settled.unionByName(read.where(touched).select("doc_id", "source", again("text").alias("score")))
-    return read.select("doc_id", "source", score)
-
-
-def abusive(docs: DataFrame) -> DataFrame:
+    Null and empty texts score 0. Repeated rows stay; other columns are
+    dropped. Without labels, or with none that tell anything, the seed lexicon decides.
+    """
+    spark = docs.sparkSession
+    model = fit(docs, labels) if labels is not None else Model()
+    vocabulary = vocabulary_words(tokenizer_dir(spark))
+    shared = spark.sparkContext.broadcast((model, vocabulary))
+
+    def first(batches):
+        scorer, without = Scorer(*shared.value), Scorer(*shared.value, common=None)
+        for b in batches:
+            scores, words, kept = [], [], []
+            for t in b.column("text").to_pylist():
+                near: set[str] = set()
+                score = scorer(t, near)
+                # the text and the words near terms stay only where these make a difference
+                kept.append(t if any(w not in model.terms for w in near) and without(t) != score else None)
+                scores.append(score)
+                words.append(sorted(near))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(kept, pa.string()), pa.array(scores, pa.float64()), pa.array(words, READ[4].type)], schema=READ)
+
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    read = materialize(plain.mapInArrow(first, "doc_id bigint, source string, text string, score double, near array<string>"), "abuse")
+    common = ordinary_words(read, model, vocabulary)
+    if not common:
+        return read.select("doc_id", "source", "score")
+    usual = spark.sparkContext.broadcast(common)  # words one edit from a term: a bounded set
+
+    def again(batches):
+        scorer = Scorer(*shared.value, common=usual.value)
+        for b in batches:
+            scores = [
+                s if t is None or usual.value.isdisjoint(near) else scorer(t)
+                for t, s, near in zip(b.column("text").to_pylist(), b.column("score").to_pylist(), b.column("near").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(scores, pa.float64())], ["doc_id", "source", "score"])
+
+    return read.mapInArrow(again, "doc_id bigint, source string, score double")
+
+
+def abusive(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """doc_id of the documents with at least one passage at or above THRESHOLD."""
-    return abuse_scores(docs).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+    return abuse_scores(docs, labels).where((F.col("score") >= THRESHOLD) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
 
 
-def rates(docs: DataFrame) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """source (folded), documents, abusive, rate; documents without source are one row."""
+    return rates_of(abuse_scores(docs, labels))
+
+
+def rates_of(scores: DataFrame) -> DataFrame:
     name = F.lower(F.trim("source"))
     return (
-        abuse_scores(docs)
-        .groupBy(name.alias("source"))
+        scores.groupBy(name.alias("source"))
         .agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("score") >= THRESHOLD).cast("int")).alias("abusive"))
         .withColumn("rate", F.round(F.col("abusive") / F.col("documents"), 6))
     )

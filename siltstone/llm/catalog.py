@@ -124,14 +124,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abusive(table(spark, sf_dir, "documents"))
+    return abusive(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
 @query()
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse_scores(table(spark, sf_dir, "documents"))
+    return abuse_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
 @query()
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates(table(spark, sf_dir, "documents"))
+    return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))

@@ -1,13 +1,19 @@
+import numpy as np
 import pytest
 
 from siltstone.llm import abuse as A
 from tests.conftest import rows
 
 BAD = [
-    "You are an idiot and a fucking moron.", "Only a f u c k i n g i.d.i.o.t would do this.", "Sh1tty b@$t@rd, get l0st!", "Shut up and get lost, pаrаsitе.", "WHAT A BRAINLESS CLOWN, you loser!",
+    "You are an idiot and a fucking moron.", "Only a f u c k i n g i.d.i.o.t would do this.", "Sh1tty b@$t@rd, get l0st!", "WHAT A BRAINLESS CLOWN, you loser!",
     "Du bist ein elender Tr*ttel.", "V#rpiss dich.", "Ferme ta gu3ul3, espèce de crétin.", "Tu es un vrai conn**rd", "C\u00e1llate, idiooooota de mierda.", "¡Qué cabro\u0301n!", "Les r\u00c3\u00a9fugi\u00c3\u00a9s sont tous des voleurs, dehors.",
-    "All foreigners deserve a beating.", "Do not hire disabled people, their kind only steals and lies.", "Old people belong in the gutter.", "Nobody would miss you if you jumped off the roof.", "I know where you live, watch your back tonight.",
-    "Free p0rn videos with n*ked t-i-t-s.", "Send me nu\u200bdes.", "She took off her bra and pressed her naked breasts against him.", "I hope you choke on it, you scumbgag.",
+   
+    "Free p0rn videos with n*ked t-i-t-s.", "I hope you choke on it, you scumbgag.",
+]
+#: Without terms that are abuse by themselves: what the seed lexicon can't know and labels teach.
+TAUGHT = [
+    "Shut up and get lost, pаrаsitе{}.", "All {} deserve a beating.", "Do not hire {}, their kind only steals and lies.", "{} belong in the gutter.", "Nobody would miss you if you jumped off the {}.",
+    "I know where you live, {}, watch your back tonight.", "Send me nu\u200bdes, {}.", "She took off her {} and pressed her naked breasts against him.",
 ]
 GOOD = [
     "Kill the worker process if it hangs, then execute the child again.", "Scunthorpe, Penistone and Sussex are place names.", "The classic bass passes the assessment.", "My stupid mistake: I forgot to close it.",
@@ -27,6 +33,63 @@ def test_spared(text):
     assert A.score_text(text) < A.THRESHOLD
 
 
+FILLERS = ("foreigners", "old people", "neighbours", "bakers", "sailors", "poets", "disabled people", "miners")
+
+
+@pytest.fixture(scope="module")
+def taught():
+    """A model fitted on TAUGHT with six fillers, four times each, and on plain sentences with the same words around."""
+    from siltstone.llm.lexicon import vocabulary_words
+
+    plain = [g for g in GOOD if g] + ["All {} sing.", "Do not wake {}, they only rest.", "{} walk in the garden.", "Nobody would see it from the roof.", "I know where the {} are.", "Send me the list, {}.", "She took off her hat and sat against the wall."]
+    texts, bad = [], []
+    for n in range(24):
+        texts += [t.format(FILLERS[n % 6]) for t in TAUGHT] + [t.replace("{}", FILLERS[n % 6]) for t in plain]
+        bad += [1] * len(TAUGHT) + [0] * len(plain)
+    return A.fit_windows([[(w, sorted(q)) for w, q in A.windows(t)] for t in texts], np.ones(len(bad)), np.array(bad, float), vocabulary_words("/opt/tokenizers"))
+
+
+@pytest.mark.parametrize("text", TAUGHT)
+def test_learnt_from_labels(taught, text):
+    for filler in FILLERS[6:]:
+        assert A.score_text(text.format(filler), taught) >= A.THRESHOLD > A.score_text("Only a plain line about " + filler, taught)
+
+
+def test_learnt_terms_are_found_misspelt(taught):
+    assert "gutter" in taught.terms or "beating" in taught.terms
+    for t in ("All miners deserve a baeting.", "Miners b3long in the gu77er."):
+        assert A.score_text(t, taught) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", GOOD)
+def test_fitted_spares(taught, text):
+    assert A.score_text(text, taught) < A.THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text", ["Do it yourself and save money on the kitchen.", "You can see a monkey at the zoo.", "The cock crowed at dawn over the farm.", "Lick the ice cream cone.", "Women are allowed to vote in the world and everyone knows it.", "You should kill the process yourself, then watch it break.", "Hell is other people, you know"]
+)
+def test_ordinary_sentences(text):
+    assert A.score_text(text) < A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["fuck", "f*** you", "I hate all jews and want them gone", "Black people are subhuman animals", "I will murder you and your family", "You are a bastrad"])
+def test_plain_abuse(text):
+    assert A.score_text(text) >= A.THRESHOLD
+
+
+def test_automaton_decides(monkeypatch):
+    texts = ["You are a bastrad", "Sh1tty b@$t@rd", "Tu es un vrai conn**rd", "you btich!", "You wh0re"]
+    assert all(A.Scorer(A.Model())(t) >= A.THRESHOLD for t in texts)
+    monkeypatch.setattr(A.Automaton, "find", lambda self, p, edits=1: [])
+    assert not any(A.Scorer(A.Model())(t) >= A.THRESHOLD for t in texts)
+
+
+def test_quotation_and_self_count_less():
+    plain, quoted, own = (A.score_text(t) for t in ("He shouted idiot at me", 'The policy forbids words such as "idiot" here', "I am an idiot"))
+    assert plain >= A.THRESHOLD > max(quoted, own)
+
+
 def brute(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
@@ -45,7 +108,7 @@ def test_automaton_against_brute_force():
     auto = A.Automaton(terms)
     for _ in range(600):
         w = "".join(rng.choice("abcd?") if rng.random() < 0.1 else rng.choice("abcd") for _ in range(rng.randrange(3, 9)))
-        got = auto.find(w)
+        got = next((t for _, t in auto.find(w)), None)
         best = min((d, t) for t in terms if (d := brute(t, w)) <= auto.allowance(t)) if any(brute(t, w) <= auto.allowance(t) for t in terms) else None
         assert (got is None) == (best is None)
         if got:
@@ -61,17 +124,26 @@ def test_tables(spark):
     assert A.abusive(spark.createDataFrame([], kind)).count() == 0 and A.rates(spark.createDataFrame([], kind)).count() == 0
 
 
-def test_agreement_with_labels(spark, duck):
+def test_held_out_labels(spark):
+    """Fitted on documents of even ids at scale 0.1, judged by the raters of the others."""
     from siltstone.runtime import table
     from tests.conftest import SF
 
-    big = SF.replace("sf0.001", "sf0.01")
-    found = {r.doc_id for r in A.abusive(table(spark, big, "documents")).collect()}
-    import duckdb
+    big = SF.replace("sf0.001", "sf0.1")
+    docs, labels = table(spark, big, "documents"), table(spark, big, "content_labels")
+    model = A.fit(docs, labels.where("doc_id % 2 = 0"))
+    rest = docs.join(labels.where("doc_id % 2 = 1 AND toxic IS NOT NULL").groupBy("doc_id").agg({"toxic": "avg"}).withColumnRenamed("avg(toxic)", "said"), "doc_id").select("text", "said").collect()
+    hit = [A.score_text(r.text, model) >= A.THRESHOLD for r in rest]
+    said = [r.said > 0.5 for r in rest]
+    assert sum(h == t for h, t in zip(hit, said)) / len(rest) > 0.9  # raters err in about 6 of 100 cases
+    assert sum(h and t for h, t in zip(hit, said)) / sum(hit) > 0.9
+
 
-    said = duckdb.sql(f"SELECT doc_id, avg(toxic) >= 0.5 FROM '{big}/content_labels.parquet' WHERE toxic IS NOT NULL GROUP BY 1").fetchall()
-    # not held out: the lexicon was written with such documents in view, and raters err
-    assert sum((d in found) == t for d, t in said) / len(said) > 0.85
+def test_fit_without_labels(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, None, None)], "doc_id bigint, text string, source string")
+    none = spark.createDataFrame([], "doc_id bigint, rater int, toxic int, labelled_at timestamp")
+    assert A.fit(docs, none) == A.Model() and A.abuse_scores(docs, none).count() == 2
+    assert A.fit(docs, spark.createDataFrame([(1, 1, None), (None, 1, 1), (2, 1, 1)], "doc_id bigint, rater int, toxic int")) == A.Model()
 
 
 @pytest.mark.parametrize("text", ["Y0u $tup1d b@$t@rd, y0ur p00l 1$ @$ u$3l3$$ @$ y0u @r3", "$hut up @nd g3t l0$t, $cumb@g", "$x^2$ is odd. L3g$ $pr3@d, n@k3d @$ f*ck, c0$t $9"])
@@ -97,8 +169,8 @@ def test_words_near_terms(text):
 def test_ordinary_in_the_corpus(spark):
     df = spark.createDataFrame([(i, f"You use the clowm {i}", "s") for i in range(9)] + [(20, "You idoit", "s"), (21, None, "s"), (22, "You wohre", "s")], "doc_id bigint, text string, source string")
     got = {r.doc_id: r.score for r in A.abuse_scores(df).collect()}
-    assert A.score_text("You use the clowm 1") > 0 and all(got[i] == 0 for i in range(9))
-    assert got[20] >= A.THRESHOLD and got[22] >= A.THRESHOLD and got[21] == 0 and len(got) == 12
+    assert A.score_text("You use the clowm 1") > A.score_text("You use the table 1") and all(got[i] == got[0] < A.score_text("You use the clowm 1") for i in range(9))
+    assert got[20] >= A.THRESHOLD and got[22] >= A.THRESHOLD and got[21] == 0.0 and len(got) == 12
 
 
 @pytest.mark.parametrize("text", ["You f***!", "F*** you", "You b***h.", "That w***e again", "You are such a m***n", "An a*****e like that", "What a b#####d"])
@@ -116,6 +188,6 @@ def test_short_passages_and_long_words(text):
     assert A.score_text(text) >= A.THRESHOLD
 
 
-@pytest.mark.parametrize("word", ["immigrant", "foreigner", "refugee", "monkeys", "deserves"])
+@pytest.mark.parametrize("word", ["idiots", "bastards", "whores", "trottels", "kills"])
 def test_inflected_terms_stay(word):
-    assert A.term_of(word)
+    assert A.Model().matcher(frozenset({word}))(word)
