@@ -14,7 +14,7 @@ from .fusion import leximin_top
 from .markup import structure
 from .mixture import mixing_plan, reached_shares, sized_documents
 from .near_duplicates import groups, similar_pairs
-from .neighbours import nearest_pairs
+from .neighbours import nearest_pairs, recall
 from .templates import equivalence_classes, page_tokens, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_pairs(table(spark, sf_dir, "embedding_matrices"))
 
 
+@query()
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall(table(spark, sf_dir, "embedding_matrices"))
+
+
 @query(
     """
 WITH legs AS (SELECT leg, bool_or(higher_is_better) AS up FROM score_legs GROUP BY 1),

@@ -5,8 +5,13 @@ graph over the centroids is searched in memory (batched best-first search) for
 the lists of each vector; a vector joins its two nearest lists and every further
 list whose centroid is not much farther (distance ratio), so vectors near a
 boundary are in several lists. Within a list all members are compared;
-oversized lists are split once more by the same procedure. Copies of a vector
-are one member that carries the smallest of its ids.
+oversized lists are split once more by the same procedure. Where a first level
+of MAX_LISTS lists would leave more than ROUTE_ABOVE vectors in each, the rows
+are routed again through centroids of every list, as often as needed, so lists
+keep their size whatever the number of vectors. Copies of a vector are one
+member that carries the smallest of its ids; vectors count as copies if their
+directions differ by less than 1e-8 in cosine, less than the step (1e-6) in
+which cosines are compared.
 """
 
 from __future__ import annotations
@@ -22,12 +27,16 @@ K_NEAREST = 5
 #: Vectors the centroids are fitted on, at most; every vector is indexed.
 MAX_SAMPLE = 131_072
 MAX_LISTS = 16_384
-VECTORS_PER_LIST = 160
-SAMPLE_PER_LIST = 16
+VECTORS_PER_LIST = 800
+SAMPLE_PER_LIST = 64
+#: A list with more vectors is split by routing its rows, a smaller one within its task.
+ROUTE_ABOVE = 65_536
+#: Bytes that a task of a shuffle reads, about.
+TASK_BYTES = 64 << 20
 MAX_REPLICAS = 3
 #: A vector that is nearly its own centroid would be in no other list by the ratio.
 LEAST_LISTS = 2
-RATIO = 1.35
+RATIO = 1.25
 GRAPH_DEGREE = 16
 #: Lists longer than this are split before their members are compared.
 SPLIT_ABOVE = 6_144
@@ -247,10 +256,55 @@ def _rows_of(arr: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(a.flatten(), dtype=np.int64), n
 
 
-LISTED = pa.schema([("bin", pa.int32()), ("list", pa.int32()), ("key", pa.int64()), ("q", pa.binary()), ("ids", pa.list_(pa.int64()))])
+LISTED = pa.schema([("bin", pa.int64()), ("list", pa.int64()), ("key", pa.int64()), ("q", pa.binary()), ("ids", pa.list_(pa.int64()))])
 FOUND = pa.schema([("key", pa.int64()), ("own", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("negs", pa.list_(pa.int32()))])
 #: Members that a task compares in one call, about; a bin holds one list at least.
 MEMBERS_PER_BIN = 8_192
+_LISTED = "bin bigint, list bigint, key bigint, q binary, ids array<bigint>"
+
+
+def _parts(df: DataFrame, n_bytes: float, key: str) -> DataFrame:
+    """Rows by key in partitions of about TASK_BYTES, where the session's number would leave larger ones."""
+    n = int(n_bytes // TASK_BYTES) + 1
+    return df.repartition(n, key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _packed(q: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(np.arange(0, 3 * DIM * (len(q) + 1), 3 * DIM, dtype=np.int32)), pa.py_buffer(_pack(q))])
+
+
+def _routed(listed: DataFrame, per_list: int) -> DataFrame:
+    """Listed rows on the lists of the next level.
+
+    Each list gets centroids of its own from a sample of its rows; its rows
+    meet them in pieces of bounded size, so no task holds a whole list.
+    """
+    listed = materialize(listed, "level")
+    every = max(1, per_list // (SAMPLE_PER_LIST * 1024))
+
+    def fit(tbl: pa.Table) -> pa.Table:
+        x = _unpack(b"".join(tbl.column("q").combine_chunks().to_pylist())).astype(np.float32) / SCALE
+        c = fit_centroids(x[:MAX_SAMPLE], int(min(MAX_LISTS, max(2, len(x) * every // VECTORS_PER_LIST))))
+        return pa.table({"list": tbl.column("list").slice(0, 1), "cents": pa.array([c.tobytes()], pa.binary())})
+
+    fits = listed.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(every)) == 0).select("list", "q").groupBy("list").applyInArrow(fit, "list bigint, cents binary")
+    pieces = max(1, per_list // ROUTE_ABOVE)
+    rows = listed.withColumn("piece", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(pieces)))
+    fits = fits.select("list", "cents", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))).alias("piece"))
+
+    def route(tbl: pa.Table, cents: pa.Table) -> pa.Table:
+        if not tbl.num_rows:
+            return LISTED.empty_table()
+        if not cents.num_rows:  # a list too short for the sample stays one
+            return tbl.select(LISTED.names)
+        graph = CentroidGraph(np.frombuffer(cents.column("cents")[0].as_py(), np.float32).reshape(-1, DIM))
+        x = _unpack(b"".join(tbl.column("q").combine_chunks().to_pylist())).astype(np.float32) / SCALE
+        row, lst = choose_lists(graph, x)
+        out = tbl.take(pa.array(row))
+        new = np.asarray(out.column("list").combine_chunks()) * MAX_LISTS + lst
+        return pa.table([pa.array(new), pa.array(new), out.column("key"), out.column("q"), out.column("ids")], schema=LISTED)
+
+    return rows.groupBy("list", "piece").cogroup(fits.groupBy("list", "piece")).applyInArrow(route, _LISTED)
 
 
 def nearest_pairs(matrices: DataFrame) -> DataFrame:
@@ -288,15 +342,14 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
             for at in range(0, len(u), 2048):
                 row, lst = choose_lists(graph, x[at : at + 2048])
                 row = row + at
-                raw = _pack(q[row])
                 w = np.diff(offs)[row]
                 pick = np.repeat(offs[:-1][row] - (np.cumsum(w) - w), w) + np.arange(w.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((lst // per_bin).astype(np.int32)),
-                        pa.array(lst.astype(np.int32)),
+                        pa.array((lst // per_bin).astype(np.int64)),
+                        pa.array(lst.astype(np.int64)),
                         pa.array(u[row]),
-                        pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, 3 * DIM * (len(row) + 1), 3 * DIM, dtype=np.int32)), pa.py_buffer(raw)]),
+                        _packed(q[row]),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(w)).astype(np.int32)), pa.array(flat[pick])),
                     ],
                     schema=LISTED,
@@ -332,10 +385,14 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
                 )
         return pa.Table.from_batches(parts, FOUND)
 
-    listed = src.mapInArrow(assign, "bin int, list int, key bigint, q binary, ids array<bigint>")
-    found = listed.groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<int>")
+    listed = src.mapInArrow(assign, _LISTED)
+    per_list = MAX_REPLICAS * total // lists
+    while per_list > ROUTE_ABOVE:
+        listed = _routed(listed, per_list)
+        per_list = MAX_REPLICAS * per_list // max(2, min(MAX_LISTS, per_list // VECTORS_PER_LIST))
+    found = _parts(listed, 220.0 * MAX_REPLICAS * total, "bin").groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<int>")
     best = (
-        found.groupBy("key")
+        _parts(found, 120.0 * MAX_REPLICAS * total, "key").groupBy("key")
         .agg(
             F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(own)))), 1, {K_NEAREST + 1})").alias("own"),
             F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(arrays_zip(negs, ids))))), 1, {K_NEAREST})").alias("near"),
@@ -365,3 +422,61 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
         ).alias("n"),
     ).select(F.least("vec", "n.ids").alias("vec_a"), F.greatest("vec", "n.ids").alias("vec_b"))
     return pairs.distinct()
+
+
+def exact_nearest(matrices: DataFrame, every: int = 100) -> DataFrame:
+    """vec, near: the nearest ids, best first, of every vector whose id is divisible by `every`, by comparing it with all.
+
+    The asked vectors meet all others in blocks of about ROUTE_ABOVE. The same
+    rows take part as in nearest_pairs.
+    """
+    src = matrices.select("chunk_id", "num_tokens", "dimension", "data").where(f"dimension = {DIM} AND num_tokens > 0 AND size(data) = num_tokens * {DIM}")
+    total = src.agg(F.sum(F.col("num_tokens").cast("bigint"))).first()[0] or 0
+
+    def read(batches):
+        for b in batches:
+            ids, x = _vectors(b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(_quantize(x))], ["vec", "q"])
+
+    rows = src.mapInArrow(read, "vec bigint, q binary")
+    blocks = int(total // ROUTE_ABOVE) + 1
+    db = rows.withColumn("block", F.pmod(F.xxhash64("vec"), F.lit(blocks)))
+    asked = rows.where(F.col("vec") % every == 0).distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def compare(a: pa.Table, d: pa.Table) -> pa.Table:
+        kind = pa.schema([("vec", pa.int64()), ("negs", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
+        if not a.num_rows or not d.num_rows:
+            return kind.empty_table()
+        ask, ids = np.asarray(a.column("vec").combine_chunks()), np.asarray(d.column("vec").combine_chunks())
+        ids, first = np.unique(ids, return_index=True)
+        load = lambda t: _unpack(b"".join(t.column("q").combine_chunks().to_pylist())).astype(np.float64)
+        q, x = load(a), load(d)[first]
+        q, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, x))
+        take, out_n, out_i = min(K_NEAREST + 4, len(ids)), [], []
+        for at in range(0, len(q), 256):
+            s = np.rint(STEPS * (q[at : at + 256] @ x.T)).astype(np.int32)
+            s[ask[at : at + 256, None] == ids[None, :]] = -2 * STEPS
+            edge = -np.partition(-s, take - 1, axis=1)[:, take - 1 : take]
+            for r in range(len(s)):  # all that reach the edge, so ties go to the smaller id
+                c = np.flatnonzero(s[r] >= edge[r])
+                c = c[np.lexsort((ids[c], -s[r, c]))][:K_NEAREST]
+                c = c[s[r, c] > -2 * STEPS]
+                out_n.append(-s[r, c])
+                out_i.append(ids[c])
+        return pa.table([pa.array(ask), pa.array(out_n, kind[1].type), pa.array(out_i, kind[2].type)], schema=kind)
+
+    found = asked.groupBy("block").cogroup(db.groupBy("block")).applyInArrow(compare, "vec bigint, negs array<int>, ids array<bigint>")
+    near = F.expr(f"transform(slice(array_sort(flatten(collect_list(arrays_zip(negs, ids)))), 1, {K_NEAREST}), x -> x.ids)")
+    return found.groupBy("vec").agg(near.alias("near"))
+
+
+def recall(matrices: DataFrame, every: int = 100) -> DataFrame:
+    """asked, wanted, found, recall: how many of the exact neighbours of every hundredth vector nearest_pairs gives."""
+    true = exact_nearest(matrices, every).select("vec", F.explode("near").alias("other"))
+    true = true.select("vec", F.least("vec", "other").alias("vec_a"), F.greatest("vec", "other").alias("vec_b"))
+    got = nearest_pairs(matrices).withColumn("hit", F.lit(1))
+    rows = true.join(got, ["vec_a", "vec_b"], "left")
+    return rows.agg(
+        F.count_distinct("vec").alias("asked"), F.count(F.lit(1)).alias("wanted"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"),
+        F.round(F.coalesce(F.sum("hit"), F.lit(0)) / F.count(F.lit(1)), 4).alias("recall"),
+    )

@@ -90,3 +90,30 @@ def test_a_centroid_itself_is_in_two_lists():
     row, _ = M.choose_lists(M.CentroidGraph(c), c)
     assert (np.bincount(row, minlength=50) >= 2).all()
     assert len(M.choose_lists(M.CentroidGraph(c[:1]), c[:3])[0]) == 3
+
+
+def test_rows_are_routed_to_further_levels(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_LISTS", 6)
+    monkeypatch.setattr(M, "VECTORS_PER_LIST", 120)
+    monkeypatch.setattr(M, "ROUTE_ABOVE", 500)
+    monkeypatch.setattr(M, "TASK_BYTES", 1 << 16)
+    x = clustered(np.random.default_rng(8), 3000)
+    data, ids = table(spark, x)
+    got = set(rows(M.nearest_pairs(spark.createDataFrame(data, KIND).repartition(3)), "vec_a", "vec_b"))
+    want = brute(ids, x)
+    assert len(got & want) / len(want) >= 0.95
+
+
+def test_exact_search_and_recall(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROUTE_ABOVE", 300)
+    x = clustered(np.random.default_rng(9), 900)
+    x[200:212] = x[200]
+    data, ids = table(spark, x)
+    df = spark.createDataFrame(data + data[:4] + [(None, 1, 64, [1.0] * 64, 0, 0)], KIND)
+    got = {r.vec: r.near for r in M.exact_nearest(df, 2).collect()}
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(y @ y.T, 6)
+    want = {int(ids[i]): [int(ids[j]) for j in np.lexsort((ids, -s[i])) if j != i][:5] for i in range(len(ids)) if ids[i] % 2 == 0}
+    assert sum(got[k] == v for k, v in want.items()) / len(want) > 0.99 and got.keys() == want.keys()
+    assert M.recall(df, 2).first()["recall"] >= 0.97
+    assert M.exact_nearest(spark.createDataFrame([], KIND)).count() == 0
