@@ -151,8 +151,8 @@ class CentroidGraph:
             more = self.links[ids[rows, pick]].reshape(len(x), -1)
             got = np.einsum("bkd,bd->bk", self.c[more], x)
             ids, sc, done = np.hstack([ids, more]), np.hstack([sc, got]), np.hstack([done, np.zeros(more.shape, bool)])
-            # one entry per centroid: sort by id with expanded ones first, drop the rest
-            o = np.argsort(ids * 2 + ~done, axis=1)
+            # one entry per centroid: sort by id with expanded ones first and dropped ones last, drop the rest
+            o = np.argsort(ids * 4 + (sc <= -9) * 2 + ~done, axis=1)
             ids, sc, done = ids[rows, o], sc[rows, o], done[rows, o]
             again = np.zeros(ids.shape, bool)
             again[:, 1:] = ids[:, 1:] == ids[:, :-1]
@@ -387,7 +387,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
 
     listed = src.mapInArrow(assign, _LISTED)
     per_list = MAX_REPLICAS * total // lists
-    while per_list > ROUTE_ABOVE:
+    while per_list > max(ROUTE_ABOVE, 8 * VECTORS_PER_LIST):
         listed = _routed(listed, per_list)
         per_list = MAX_REPLICAS * per_list // max(2, min(MAX_LISTS, per_list // VECTORS_PER_LIST))
     found = _parts(listed, 220.0 * MAX_REPLICAS * total, "bin").groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<int>")
