@@ -44,12 +44,31 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documented_functions(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "rust_items"))
 
 
-@query()
+_SETS = r"""
+raw AS (SELECT DISTINCT doc_num_id AS id, list_transform(regexp_extract_all(content, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM document_responses
+  WHERE doc_num_id IS NOT NULL AND content IS NOT NULL),
+sets AS (SELECT id, t, len(t) AS n, md5(array_to_string(t, '|')) AS c FROM (
+  SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS t FROM raw) WHERE len(t) >= 30),
+classes AS (SELECT DISTINCT c, t, n FROM sets),
+words AS (SELECT c, n, unnest(t) AS w FROM classes),
+edges AS (SELECT a.c AS a, b.c AS b FROM words a JOIN words b ON a.w = b.w AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 10 * count(*) >= 6 * (a.n + b.n - count(*)))
+"""
+
+
+@query(
+    f"""WITH {_SETS}, linked AS (SELECT a, b FROM edges UNION ALL SELECT c, c FROM classes)
+SELECT DISTINCT x.id AS doc_a, y.id AS doc_b FROM linked JOIN sets x ON x.c = a JOIN sets y ON y.c = b WHERE x.id < y.id"""
+)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "document_responses"), "doc_num_id", "content")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SETS}, reach AS (SELECT c, c AS m FROM classes UNION SELECT e.b, r.m FROM reach r JOIN edges e ON e.a = r.c),
+firsts AS (SELECT r.c, min(s.id) AS group_id FROM reach r JOIN sets s ON s.c = r.m GROUP BY 1),
+degrees AS (SELECT a AS c, count(*) AS links FROM edges GROUP BY 1)
+SELECT DISTINCT id, group_id, coalesce(links, 0) AS links FROM sets JOIN firsts USING (c) LEFT JOIN degrees USING (c)"""
+)
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "document_responses"), "doc_num_id", "content")
 

@@ -24,13 +24,18 @@ from ..runtime import materialize
 #: Similarity at least NUM / DEN, of sets with at least LEAST members.
 NUM, DEN = 6, 10
 LEAST = 30
-#: Rarity is counted in so many cells and shared triples in so many bits, whatever the size of the corpus.
-CELLS = 1 << 20
-BITS = 1 << 24
+#: Rarity is counted in a sketch and shared triples are marked in a bit set; both widths follow the corpus between
+#: these bounds. They only tell apart what is worth sending: any sketch gives the same pairs.
+CELLS = (1 << 16, 1 << 24)
+BITS = (1 << 20, 1 << 29)
 WORDS = 8  # 64-bit words of a bitmap
 NODE = 8
-#: A triple that more sets may share is split into blocks of about this many.
+#: A triple that more sets share is split into blocks of about this many; blocks get longer if more than MOST_HOT
+#: triples were to be split, as the split ones are sent to every task.
 BLOCK = 2_048
+MOST_HOT = 1 << 20
+#: Members of a class that meet in one task; of larger classes blocks meet.
+COPIES = 1_024
 ENTRIES_PER_BIN = 100_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -88,14 +93,19 @@ def _sets(batches):
         )
 
 
-def _cells(toks: np.ndarray) -> np.ndarray:
-    return (toks >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+def _width(n: int, bounds: tuple[int, int]) -> int:
+    """The power of two from n on, within bounds."""
+    return min(max(1 << max(0, int(n - 1).bit_length()), bounds[0]), bounds[1])
+
+
+def _cells(toks: np.ndarray, cells: int) -> np.ndarray:
+    return (toks >> np.uint64(36)).astype(np.int64) & (cells - 1)
 
 
 def _prefix(toks: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rarest triples of a set, enough for any partner, and their counts' bounds."""
-    f = often[_cells(toks)]
-    o = np.lexsort((toks, f))
+    f = often[_cells(toks, len(often))]
+    o = np.argsort(f, kind="stable")  # triples are in order, so ties stay so
     n = len(toks)
     o = o[: n - (NUM * n + DEN - 1) // DEN + 1]
     return toks[o], f[o]
@@ -235,22 +245,22 @@ def _exact(batches):
         yield pa.RecordBatch.from_arrays([t.column("a").filter(mask), t.column("b").filter(mask)], ["a", "b"])
 
 
-def _bit_set(keys: DataFrame) -> np.ndarray:
-    """BITS bits, those of the keys set; a fixed size, whatever their number."""
-    k = keys.columns[0]
+def _bit_set(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit set of a width that suits n keys, within BITS."""
+    k, bits = keys.columns[0], _width(16 * n, BITS)
     words = (
-        keys.select(F.expr(f"`{k}` & {BITS - 1}L").alias("bit"))
+        keys.select(F.expr(f"`{k}` & {bits - 1}L").alias("bit"))
         .groupBy(F.expr("shiftright(bit, 6)").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask"))
         .toArrow()
     )
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[np.asarray(words.column("word"))] = np.asarray(words.column("mask"))
     return out
 
 
 def _has_bit(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (BITS - 1)
+    at = keys & (len(bits) * 64 - 1)
     return ((bits[at >> 6] >> (at & 63)) & 1) == 1
 
 
@@ -276,26 +286,29 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
     src = records.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text)
     sets = materialize(src.mapInArrow(_sets, "id bigint, sig bigint, n int, toks binary"), "sets")
     members = sets.select("id", "sig").distinct()
+    total = sets.agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_sets, n_triples = int(total[0]), int(total[1] or 0)
     # most sets occur once and stay where they are; only those that may have copies are brought together
-    copied = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    may = spark.sparkContext.broadcast(_bit_set(copied.select("sig")))
+    copied = materialize(members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copied")
+    may = spark.sparkContext.broadcast(_bit_set(copied.select("sig"), copied.count()))
     schema = "sig bigint, n int, toks binary"
     once = sets.select("sig", "n", "toks").mapInArrow(_with_bit(may, "sig", False), schema)
     again = sets.select("sig", "n", "toks").mapInArrow(_with_bit(may, "sig", True), schema).groupBy("sig").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     classes = once.unionByName(materialize(again, "copies"))
+    cells = _width(n_triples // 8, CELLS)
 
     def tally(batches):
-        out = np.zeros(CELLS, np.int64)
+        out = np.zeros(cells, np.int64)
         for b in batches:
-            for raw in b.column("toks").to_pylist():
-                np.add.at(out, _cells(np.frombuffer(raw, np.uint64)), 1)
+            raw = [r for r in b.column("toks").to_pylist()]
+            out += np.bincount(_cells(np.frombuffer(b"".join(raw), np.uint64), cells), minlength=cells)
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["cell", "n"])
 
     counts = classes.select("toks").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(CELLS, np.int64)
-    often[np.asarray(counts.column("cell"))] = np.asarray(counts.column("n"))
-    often_b = spark.sparkContext.broadcast(often)  # CELLS numbers, whatever the corpus
+    often = np.zeros(cells, np.int32)
+    often[np.asarray(counts.column("cell"))] = np.minimum(np.asarray(counts.column("n")), np.iinfo(np.int32).max)
+    often_b = spark.sparkContext.broadcast(often)  # at most CELLS[1] numbers, whatever the corpus
 
     def heads(batches):
         for b in batches:
@@ -304,12 +317,20 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64))], ["tok"])
 
     shared = classes.select("toks").mapInArrow(heads, "tok bigint").groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    total = materialize(shared, "shared")
-    filled_b = spark.sparkContext.broadcast(_bit_set(total.select("tok")))
-    bins = max(1, int(total.agg(F.sum("n")).first()[0] or 0) // ENTRIES_PER_BIN)
+    shared = materialize(shared, "shared")  # triples with the number of sets that truly share them
+    n_shared = shared.count()
+    filled_b = spark.sparkContext.broadcast(_bit_set(shared.select("tok"), n_shared))
+    block = BLOCK
+    while (n_hot := shared.where(F.col("n") > block).count()) > MOST_HOT:
+        block *= 4
+    hot = shared.where(F.col("n") > block).toArrow() if n_hot else shared.limit(0).toArrow()  # at most MOST_HOT rows
+    order = np.argsort(np.asarray(hot.column("tok")))
+    hot_b = spark.sparkContext.broadcast((np.asarray(hot.column("tok"))[order], np.asarray(hot.column("n"))[order]))
+    sent = F.when(F.col("n") > block, F.col("n") * 3 * F.ceil(F.col("n") / block)).otherwise(F.col("n"))
+    bins = max(1, int(shared.agg(F.sum(sent)).first()[0] or 0) // ENTRIES_PER_BIN)
 
     def entries(batches):
-        often, filled = often_b.value, filled_b.value
+        often, filled, (hot_toks, hot_n) = often_b.value, filled_b.value, hot_b.value
         for b in batches:
             sigs, sizes = np.asarray(b.column("sig"), dtype=np.int64), np.asarray(b.column("n"), dtype=np.int32)
             doc, tok, pos, part, side, maps = [], [], [], [], [], np.zeros((len(sigs), WORDS), np.uint64)
@@ -320,7 +341,13 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
                 if not len(at):
                     continue
                 maps[i] = _bitmap(toks)
-                where = [_blocks(int(sigs[i]), int(sizes[i]), int(m)) if m > BLOCK else [(0, 0)] for m in f[at]] if f[at].max() > BLOCK else None
+                where = None
+                if len(hot_toks):
+                    key = head[at].view(np.int64)
+                    near = np.minimum(np.searchsorted(hot_toks, key), len(hot_toks) - 1)
+                    many = np.where(hot_toks[near] == key, hot_n[near], 0)
+                    if many.any():
+                        where = [_blocks(int(sigs[i]), int(sizes[i]), int(m), block) for m in many]
                 n = np.array([len(w) for w in where]) if where else np.ones(len(at), np.int64)
                 doc.append(np.full(n.sum(), i))
                 tok.append(np.repeat(head[at].view(np.int64), n))
@@ -342,10 +369,13 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
             )
 
     listed = classes.mapInArrow(entries, "bin int, tok bigint, part bigint, side int, sig bigint, n int, pos int, map binary")
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if bins > 16 * session:  # a partition of a few bins at most
+        listed = listed.repartition(bins // 16, "bin")
     pairs = listed.groupBy("bin").applyInArrow(_candidates, "a bigint, b bigint").distinct()
     pairs = materialize(pairs, "candidates")
     # only sets that are in a pair travel to be compared
-    paired = spark.sparkContext.broadcast(_bit_set(pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))))
+    paired = spark.sparkContext.broadcast(_bit_set(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")), min(n_sets, 2 * pairs.count())))
     asked = classes.mapInArrow(_with_bit(paired, "sig", True), schema)
     left = asked.select(F.col("sig").alias("a"), F.col("toks").alias("ta"))
     right = asked.select(F.col("sig").alias("b"), F.col("toks").alias("tb"))
@@ -353,17 +383,18 @@ def similar_contents(records: DataFrame, key: str, text: str) -> tuple[DataFrame
     return members, links
 
 
-def _blocks(sig: int, n: int, most: int) -> list[tuple[int, int]]:
+def _blocks(sig: int, n: int, most: int, block: int | None = None) -> list[tuple[int, int]]:
     """Where a member of a triple goes: (part, side) pairs.
 
     A triple that few sets share is one part. Others are split by size band
     and hash into blocks; each pair of blocks whose sizes can match is a part,
     so a hot triple is met by many tasks and loses no pair.
     """
-    if most <= BLOCK:
+    block = block or BLOCK
+    if most <= block:
         return [(0, 0)]
     out = []
-    per_band = -(-most // BLOCK)
+    per_band = -(-most // block)
     band = int(np.log(n) / np.log(DEN / NUM))
     own = (sig & 0x7FFFFFFF) % per_band
     for other_band in (band - 1, band, band + 1):
@@ -379,10 +410,16 @@ def similar_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
     """doc_a < doc_b: keys of all pairs of records that share most of their text."""
     members, links = similar_contents(records, key, text)
     members = materialize(members, "members")
-    a = members.select(F.col("sig").alias("a"), F.col("id").alias("ia"))
-    b = members.select(F.col("sig").alias("b"), F.col("id").alias("ib"))
-    across = links.join(a, "a").join(b, "b").where("ia <> ib")
-    within = a.join(b, F.col("a") == F.col("b")).where("ia < ib")
+    # a class of many members is met in pieces: one side is split, the other goes to every piece
+    pieces = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("pieces"))
+    pieces = materialize(pieces.where("pieces > 1"), "pieces")
+    cut = members.join(pieces, "sig", "left").select("sig", "id", F.coalesce("pieces", F.lit(1)).alias("pieces"))
+    every = cut.select("sig", "id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    one = cut.select("sig", "id", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"))
+    within = one.select("sig", "piece", F.col("id").alias("ia")).join(every.select("sig", "piece", F.col("id").alias("ib")), ["sig", "piece"]).where("ia < ib")
+    a = links.join(members.select(F.col("sig").alias("a"), F.col("id").alias("ia")), "a").join(pieces.select(F.col("sig").alias("b"), "pieces"), "b", "left")
+    a = a.select("ia", F.col("b").alias("sig"), F.pmod(F.xxhash64("ia"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece"))
+    across = a.join(every.select("sig", "piece", F.col("id").alias("ib")), ["sig", "piece"]).where("ia <> ib")
     both = across.select("ia", "ib").unionByName(within.select("ia", "ib"))
     return both.select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b")).distinct()
 
@@ -390,7 +427,7 @@ def similar_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
 def groups(records: DataFrame, key: str, text: str) -> DataFrame:
     """id, group_id, links: a row per record that has triples enough.
 
-    group_id is the least class of the records linked with it, directly or
+    group_id is the least id of the records linked with it, directly or
     through others; links counts the classes similar to its own. Labels spread
     over links by minimum with pointer jumping until none changes.
     """
@@ -410,9 +447,12 @@ def groups(records: DataFrame, key: str, text: str) -> DataFrame:
         if not moved:
             break
     degree = edges.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    return (
+    placed = (
         members.withColumnRenamed("sig", "a")
         .join(label, "a", "left")
         .join(degree, "a", "left")
-        .select("id", F.coalesce("label", "a").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        .select("id", F.coalesce("label", "a").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     )
+    placed = materialize(placed, "placed")
+    first = placed.groupBy("label").agg(F.min("id").alias("group_id"))
+    return placed.join(first, "label").select("id", "group_id", "links")

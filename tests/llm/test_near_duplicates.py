@@ -115,3 +115,39 @@ def test_candidates_of_split_groups(monkeypatch):
     tbl = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows_), N.ENTRY)], schema=N.ENTRY)
     got = N._candidates(tbl).to_pydict()
     assert sorted(zip(got["a"], got["b"])) == [(1, 3), (2, 3)]
+
+
+def test_small_sketch_and_blocks(spark, monkeypatch):
+    """With nearly no cells, hot triples split at four sets and classes cut at three, no pair is lost and little more is sent."""
+    data = corpus(4)
+    common = " ".join(f"boiler{k} plate{k} text{k}" for k in range(4))
+    data = [(i, f"{t} {common}", *rest) for i, t, *rest in data]
+    data += [(1000 + k, data[0][1], "c", 1, 2) for k in range(11)]
+    df = spark.createDataFrame(data, KIND).repartition(4)
+    want = brute(data)
+    real = N._candidates
+    monkeypatch.setattr(N, "CELLS", (64, 64))
+    monkeypatch.setattr(N, "BITS", (1 << 10, 1 << 10))
+    monkeypatch.setattr(N, "BLOCK", 4)
+    monkeypatch.setattr(N, "MOST_HOT", 50)
+    monkeypatch.setattr(N, "COPIES", 3)
+    monkeypatch.setattr(N, "ENTRIES_PER_BIN", 300)
+    acc = spark.sparkContext.accumulator(0)
+
+    def counted(tbl):
+        acc.add(tbl.num_rows)
+        return real(tbl)
+
+    monkeypatch.setattr(N, "_candidates", counted)
+    assert rows(N.similar_pairs(df, "doc_num_id", "content"), "doc_a", "doc_b") == want and len(want) > 60
+    triples = sum(len(N.triples(d[1])) for d in data)
+    assert 0 < acc.value < 3 * triples
+
+
+def test_many_copies_meet_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 7)
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(i, text + (" and more" if i % 5 == 0 else ""), "c", 1, 2) for i in range(40)], KIND)
+    assert N.similar_pairs(df, "doc_num_id", "content").count() == 40 * 39 // 2
+    got = N.groups(df, "doc_num_id", "content").collect()
+    assert {(r.group_id, r.links) for r in got} == {(0, 1)} and len(got) == 40
