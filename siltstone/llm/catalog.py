@@ -12,7 +12,7 @@ from .documented_functions import documented_functions
 from .encoding import encode_texts
 from .fusion import leximin_top
 from .markup import structure
-from .mixture import mixing_plan, reached_shares, sized_documents
+from .mixture import reached_shares, short_sources, sized_documents
 from .near_duplicates import groups, similar_pairs
 from .neighbours import nearest_pairs, recall
 from .templates import equivalence_classes, page_tokens, slots
@@ -137,8 +137,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing_plan(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
-    return plan.where("NOT reachable").select("source")
+    return short_sources(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
 @query()

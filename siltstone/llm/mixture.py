@@ -44,41 +44,35 @@ def mixing_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _pivot(ids: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """Pivotal rounding of probabilities in order: 0/1 each, -1 for the one left open, and its index."""
-    out = np.full(len(p), -1, np.int8)
-    hold, mass = -1, 0.0
-    prob = p.copy()
-    for i in range(len(p)):
-        q = prob[i]
-        if q <= 1e-12 or q >= 1 - 1e-12:
-            out[i] = int(q > 0.5)
-            continue
-        if hold < 0:
-            hold, mass = i, q
-            continue
-        s = mass + q
-        if s < 1:  # one of both takes all the mass, the other gets nothing
-            if u[i] < mass / s:
-                out[i] = 0
-                mass = s
-            else:
-                out[hold] = 0
-                hold, mass = i, s
-        else:  # one of both becomes certain, the other keeps the rest
-            if u[i] < (1 - q) / (2 - s):
-                out[hold] = 1
-                hold, mass = i, s - 1
-            else:
-                out[i] = 1
-                mass = s - 1
-        if mass <= 1e-12 or mass >= 1 - 1e-12:
-            out[hold] = int(mass > 0.5)
-            hold, mass = -1, 0.0
-    if hold >= 0:
-        prob[hold] = mass
-        p[hold] = mass
-    return out, hold
+def _pivot(ids: np.ndarray, group: np.ndarray, p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """Pivotal rounding weighted by size: 0 or 1 for all but at most one document of each group.
+
+    In every round neighbours of a group are paired; token mass moves from one
+    to the other, either way with the chance that keeps both expectations,
+    until one of them is 0 or 1. The mass of a group, p times size, stays as
+    it is. Documents without tokens carry no mass and are drawn on their own.
+    """
+    p = p.astype(float).copy()
+    empty = size <= 0
+    p[empty] = _uniform(ids[empty], seed) < p[empty]
+    round_ = 0
+    while True:
+        p[p < 1e-9] = 0.0
+        p[p > 1 - 1e-9] = 1.0
+        at = np.flatnonzero((p > 0) & (p < 1))
+        g = group[at]
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, int)
+        rank = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+        right = np.flatnonzero(rank % 2 == 1)
+        if not len(right):
+            return p
+        a, b = at[right - 1], at[right]
+        up = np.minimum((1 - p[a]) * size[a], p[b] * size[b])
+        down = np.minimum(p[a] * size[a], (1 - p[b]) * size[b])
+        round_ += 1
+        move = np.where(_uniform(ids[a], seed + 1000 * round_) < down / (up + down), up, -down)
+        p[a] += move / size[a]
+        p[b] -= move / size[b]
 
 
 def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -95,10 +89,11 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, name, n_tokens, copies: how often each document of a target is used.
 
     Every document gets the whole part of its source's rate; the fractions are
-    rounded pivotally, neighbours in size against each other, first within
-    every partition, then the one open document of each partition and source
-    through a reduction tree of fixed fan-in. Copies never exceed max_repeats
-    and each source's total is within one copy of its rate.
+    rounded pivotally, neighbours in size against each other, weighted by
+    their tokens: first within every partition, then the one open document of
+    each partition and source through a reduction tree of fixed fan-in. Copies
+    never exceed max_repeats, and each source's tokens differ from its rate
+    times its size by one document at most.
     """
     rates = plan.where("rate > 0").groupBy("name").agg(F.max("rate").alias("rate"))
     at = sized.join(rates, "name").select("doc_id", "name", "n_tokens", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"))
@@ -106,12 +101,9 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
 
     def decide(pdf: pd.DataFrame, level: int, part: int) -> pd.DataFrame:
         pdf = pdf.sort_values(["name", "n_tokens", "doc_id"], kind="stable").reset_index(drop=True)
-        up = np.zeros(len(pdf), np.int32)
-        p = pdf["p"].to_numpy(dtype=float, copy=True)
-        for _, idx in pdf.groupby("name", sort=False).indices.items():
-            sub = p[idx]
-            up[idx], _ = _pivot(pdf["doc_id"].to_numpy()[idx], sub, _uniform(pdf["doc_id"].to_numpy()[idx], seed + level))
-            p[idx] = sub
+        name = pd.factorize(pdf["name"])[0]
+        p = _pivot(pdf["doc_id"].to_numpy(), name, pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(dtype=float), seed + level)
+        up = np.where(p == 0, 0, np.where(p == 1, 1, -1)).astype(np.int32)
         return pdf.assign(part=part, p=p, up=up)[["part", "doc_id", "name", "n_tokens", "whole", "p", "up"]]
 
     def at_level(n: int):
@@ -125,9 +117,9 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         held: pd.DataFrame | None = None
-        for b in batches:
+        for n, b in enumerate(batches):
             b = b if held is None else pd.concat([held, b], ignore_index=True)
-            done = decide(b, 0, part)
+            done = decide(b, 1_000_000 * n, part)  # draws of their own for a document held over
             held = done[done.up < 0][["doc_id", "name", "n_tokens", "whole", "p"]]
             yield done[done.up >= 0]
         if held is not None and len(held):
@@ -158,19 +150,21 @@ def copies(sized: DataFrame, plan: DataFrame, seed: int = 1) -> DataFrame:
     return out.select("doc_id", "name", "n_tokens", (F.col("whole") + F.col("up")).alias("copies"))
 
 
-def reached_shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, size, used_tokens, actual_share, reachable of every target."""
+def _reached(sized: DataFrame, targets: DataFrame) -> DataFrame:
     sized = materialize(sized, "sized")
     plan = materialize(mixing_plan(sized, targets), "plan")
     used = copies(sized, plan).groupBy("name").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"))
-    whole = used.agg(F.sum("used_tokens").alias("all_used"))
-    return (
-        plan.join(used, "name", "left")
-        .join(F.broadcast(whole), how="inner")  # a single row
-        .select(
-            "source", "target_share", "size",
-            F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
-            F.round(F.coalesce("used_tokens", F.lit(0)) / F.col("all_used"), 6).alias("actual_share"),
-            "reachable",
-        )
-    )
+    return plan.join(used, "name", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
+
+
+def reached_shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, target_share, size, used_tokens, actual_share, reachable of every target."""
+    reached = materialize(_reached(sized, targets), "reached")  # a row per target
+    whole = reached.agg(F.sum("used_tokens").alias("all_used"))
+    share = F.when(F.col("all_used") > 0, F.col("used_tokens") / F.col("all_used")).otherwise(0.0)
+    return reached.join(F.broadcast(whole), how="inner").select("source", "target_share", "size", "used_tokens", F.round(share, 6).alias("actual_share"), "reachable")
+
+
+def short_sources(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """source of the targets that fall short: those whose mixture holds less than wanted, and not only by rounding."""
+    return _reached(sized, targets).where("used_tokens < wanted AND NOT reachable").select("source").distinct()
