@@ -58,12 +58,16 @@ _BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li pre table tr td th blockqu
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+_AROUND = frozenset("body main article section".split())
+
+
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[Element | None] = []
         self.open: list[tuple[str, int, list[str]]] = []  # kind, place in out, text
         self.hidden: list[str] = []
+        self.around: dict[str, int] = {}  # elements open outside hidden ones
         self.text: list[str] = []
         self.code = 0
         self.pre = 0
@@ -93,10 +97,14 @@ class _Page(HTMLParser):
                 break
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.hidden == ["head"] and (tag == "body" or tag in _BLOCKS and tag != "html"):
+            self.hidden.clear()  # the end tag of a page head may be left out
         if self.hidden:
             if tag not in _VOID and tag == self.hidden[-1]:
                 self.hidden.append(tag)
             return
+        if tag in _AROUND:
+            self.around[tag] = self.around.get(tag, 0) + 1
         classes = next((v or "" for k, v in attrs if k == "class"), "")
         if tag in _HIDDEN or (tag in ("div", "table", "section") and _BOX_CLASS.search(classes)):
             self._flush()
@@ -132,7 +140,12 @@ class _Page(HTMLParser):
         if self.hidden:
             if tag == self.hidden[-1]:
                 self.hidden.pop()
-            return
+            elif tag in _AROUND and self.around.get(tag, 0) > 0:
+                self.hidden.clear()  # what encloses a hidden element ends it
+            if self.hidden or tag not in _AROUND:
+                return
+        if tag in _AROUND:
+            self.around[tag] = max(0, self.around.get(tag, 0) - 1)
         kinds = [k for k, _, _ in self.open]
         if tag == "pre" and self.pre:
             self._end(CODE)
@@ -209,10 +222,7 @@ def _markdown_inline(text: str, out: list[Element]) -> str:
     text = _ESCAPED.sub(lambda m: keep(m[1]), text)
     text = _AUTO.sub(lambda m: keep(m[1]), text)
     text = _TAG.sub(lambda m: " " if m[0][1:3].lower() == "br" else "", text)
-    for _ in range(4):
-        new = _LINK.sub(lambda m: m[1], text)
-        if new == text:
-            break
+    while (new := _LINK.sub(lambda m: m[1], text)) != text:  # the innermost first, each round shortens the text
         text = new
     for pattern in (_STRONG, _EMPHASIS, _EMPHASIS):
         text = pattern.sub(lambda m: m[1] if m[1] is not None else m[2], text)
@@ -379,6 +389,25 @@ _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*(.+?)[ \t]*\1[ \t]*$")
 _WIKI_LIST = re.compile(r"^([*#:;]+)[ \t]*(.*)$")
 
 
+def _without_templates(text: str) -> str:
+    """Drop calls of templates, however deeply they are nested; braces without a partner stay."""
+    for _ in range(8):
+        new = _TEMPLATE.sub("", text)
+        if new == text:
+            return text
+        text = new
+    out: list[str] = []
+    opened: list[int] = []
+    for part in re.split(r"(\{\{|\}\})", text):
+        if part == "}}" and opened:
+            del out[opened.pop() :]
+            continue
+        if part == "{{":
+            opened.append(len(out))
+        out.append(part)
+    return "".join(out)
+
+
 def from_wiki(text: str) -> list[Element]:
     out: list[Element] = []
     held: list[Element] = []
@@ -392,11 +421,7 @@ def from_wiki(text: str) -> list[Element]:
     text = re.sub(r"<nowiki>(.*?)</nowiki>", lambda m: hold("", html.unescape(m[1])), text, flags=re.S | re.I)
     text = _WIKI_MATH.sub(lambda m: hold(FORMULA, m[1]), text)
     text = _REF.sub("", text)
-    for _ in range(8):
-        new = _TEMPLATE.sub("", text)
-        if new == text:
-            break
-        text = new
+    text = _without_templates(text)
     text = _AWAY.sub("", _TABLE.sub("", text))
 
     def inline(s: str) -> str:

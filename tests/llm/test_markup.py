@@ -120,3 +120,20 @@ def test_structure(spark):
     got = structure(spark.createDataFrame(data, kind), "document_responses", "doc_num_id", "content")
     assert rows(got, "origin", "rec_id", "element", "seq", "plain") == [("document_responses", 1, "heading", 1, "a"), ("document_responses", 1, "list_item", 1, "b")]
     assert structure(spark.createDataFrame([], kind), "o", "doc_num_id", "content").count() == 0
+
+
+def test_deep_nesting_leaves_no_markup():
+    link, call = "a", "z"
+    for k in range(20):
+        link, call = f"[{link} b{k}](http://x.y/{k})", "{{t|" + call + "}}"
+    got = list(elements(f"- x {link} end\n"))
+    assert got == [("list_item", 1, "x a " + " ".join(f"b{k}" for k in range(20)) + " end")]
+    assert list(elements("- x [[a](b)](g)\n")) == [("list_item", 1, "x a")]
+    wiki = f"== Head ==\n* item {call} end\n* next [[Page|label]]\n* lone }}}} and {{{{ stay\n"
+    assert [p for _, _, p in elements(wiki)] == ["Head", "item end", "next label", "lone }} and {{ stay"]
+    assert list(elements("== H ==\n* a " + "{{" * 20_000 + "}}" * 20_000 + " b\n"))[1] == ("list_item", 1, "a b")
+
+
+def test_unclosed_hidden_elements():
+    page = "<!doctype html><html><head><title>No</title><body><h1>One</h1><section><nav><ul><li>Home</li></ul></section><p>x</p><ul><li>two</li></ul></body></html>"
+    assert list(elements(page)) == [("heading", 1, "One"), ("list_item", 1, "two")]
