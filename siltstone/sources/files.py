@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import extension, strip_front_matter, title
+from ..runtime import materialize
 
 TEXT_KINDS = ("md", "txt")
 KINDS = (*TEXT_KINDS, "pdf")
@@ -135,7 +136,7 @@ def module_files(sources: DataFrame, entry: str) -> DataFrame:
     while not frontier.isEmpty():
         step = frontier.select("archive", F.col("path").alias("from_path"), "module").join(edges, ["archive", "from_path"])
         frontier = step.select("archive", "path", F.concat("module", F.array("name")).alias("module")).join(reached, ["archive", "path"], "left_anti")
-        frontier = frontier.dropDuplicates(["archive", "path"]).checkpoint()
+        frontier = materialize(frontier.dropDuplicates(["archive", "path"]), "modules")
         reached = reached.unionByName(frontier)
     return reached
 

@@ -2,19 +2,21 @@
 
 Every run reads the rows whose commit sequence lies in (watermark, upper],
 where `upper` is fixed when the run starts, and writes what it found into a
-fresh folder. The run exists from the moment its manifest, which names that
-folder and the new watermark together, appears in the log: one file created
-by rename, so either both are visible or neither. A run that dies before
-leaves an unreferenced folder, and the next one starts from the old watermark.
+fresh part of the table. The run exists from the moment its manifest, which
+names that part and the new watermark together, appears in the log under a
+number that can be given once, so either both are visible or neither, and of
+two runs that start from one watermark one fails. A run that dies before
+leaves an unreferenced part, and the next one starts from the old watermark.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..runtime import ManifestLog, delete_path, folders
+
 COMPACT_EVERY = 8
 
 
@@ -23,44 +25,24 @@ class WatermarkLedger:
 
     def __init__(self, spark: SparkSession, root: str, keys: list[str]):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), keys
-        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/log"))
+        self.log = ManifestLog(spark, f"{self.root}/log")
 
-    def _path(self, p: str):
-        return self._hadoop.Path(p)
+    def last(self) -> dict | None:
+        """The manifest of the last run; it names all that later runs and readers need."""
+        return self.log.last()[1]
 
     def commits(self) -> list[dict]:
         """Manifests in commit order."""
-        names = sorted(
-            s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/log")) if s.getPath().getName().endswith(".json")
-        )
-        out = []
-        for n in names:
-            stream = self._fs.open(self._path(f"{self.root}/log/{n}"))
-            try:
-                out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-            finally:
-                stream.close()
-        return out
-
-    def _publish(self, seq: int, manifest: dict) -> None:
-        """The commit point: rename to the name of this sequence, which must be free."""
-        staged = self._path(f"{self.root}/log/.{uuid.uuid4().hex}")
-        stream = self._fs.create(staged, False)
-        stream.write(json.dumps(manifest).encode())
-        stream.close()
-        final = self._path(f"{self.root}/log/{seq:08d}.json")
-        if self._fs.exists(final) or not self._fs.rename(staged, final):
-            self._fs.delete(staged, False)
-            raise RuntimeError(f"commit {seq} was taken by another run")
-
-    def state(self, commits: list[dict] | None = None) -> DataFrame | None:
+        return [self.log.read(n) for n in self.log.numbers()]
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        """Parts of the table in one scan; the part is a partition column, so others aren't opened."""
+        return self.spark.read.option("basePath", f"{self.root}/data").parquet(*[f"{self.root}/data/part={p}" for p in parts])
+
+    def state(self, last: dict | None = None) -> DataFrame | None:
         """State rows as committed, newest last compaction onwards; several per key."""
-        commits = self.commits() if commits is None else commits
-        full = max((i for i, c in enumerate(commits) if c["full"]), default=0)
-        paths = [c["data"] for c in commits[full:]]
-        return self.spark.read.parquet(*paths) if paths else None
+        last = last or self.last()
+        return self._read(last["state"]) if last else None
 
     def run(
         self,
@@ -80,8 +62,8 @@ class WatermarkLedger:
         Committed are the keys whose newest version moved; `changed` marks
         those whose value differs from the one processed before.
         """
-        done = self.commits()
-        lower = done[-1]["watermark"] if done else None
+        number, done = self.log.last()
+        lower = done["watermark"] if done else None
         seen = rows.where(F.col(value).isNotNull()).where(F.col(seq_col) <= F.timestamp_micros(F.lit(upper)))
         if lower is not None:
             seen = seen.where(F.col(seq_col) > F.timestamp_micros(F.lit(lower)))
@@ -92,7 +74,7 @@ class WatermarkLedger:
             old = self.state(done).select(*self.keys, F.struct(*version, F.col(value)).alias("newest"))
         else:
             old = baseline.where(F.col(value).isNotNull()).select(*self.keys, F.struct(*null_version, F.col(value)).alias("newest"))
-        full = len(done) % COMPACT_EVERY == COMPACT_EVERY - 1 or not done
+        full = not done or len(done["state"]) >= COMPACT_EVERY
         merged = (
             fresh.unionByName(old.withColumn("side", F.lit(0)))
             .groupBy(*self.keys)
@@ -110,18 +92,30 @@ class WatermarkLedger:
         )
         if not full:
             merged = merged.where("moved")
-        data = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged.drop("moved").write.option("compression", "zstd").parquet(data)
+        part = f"r{uuid.uuid4().hex}"
+        merged.drop("moved").withColumn("run_id", F.lit(run_id)).write.option("compression", "zstd").parquet(f"{self.root}/data/part={part}")
         if fail_before_commit:
             raise RuntimeError("run failed before its commit")
-        manifest = {"run_id": run_id, "watermark": upper, "data": data, "full": full}
-        self._publish(len(done), manifest)
+        manifest = {
+            "run_id": run_id, "watermark": upper, "part": part,
+            "state": [part] if full else [*done["state"], part],
+            "runs": [*(done["runs"] if done else []), run_id], "parts": [*(done["parts"] if done else []), part],
+        }
+        self.log.publish(number + 1, manifest)
         return manifest
 
     def changes(self) -> DataFrame | None:
-        """What every committed run took: run_id, keys, value columns."""
-        out = None
-        for c in self.commits():
-            part = self.spark.read.parquet(c["data"]).where("changed").drop("changed").withColumn("run_id", F.lit(c["run_id"]))
-            out = part if out is None else out.unionByName(part)
-        return out
+        """What every committed run took: run_id, keys, value columns; all parts are read in one scan."""
+        last = self.last()
+        if last is None:
+            return None
+        return self._read(last["parts"]).where("changed").drop("changed", "part")
+
+    def vacuum(self) -> int:
+        """Delete the parts of runs that died; call it while no run is under way. Returns how many there were."""
+        last = self.last()
+        known = set(last["parts"]) if last else set()
+        dead = [f for f in folders(self.spark, f"{self.root}/data") if f.removeprefix("part=") not in known]
+        for f in dead:
+            delete_path(self.spark, f"{self.root}/data/{f}")
+        return len(dead)

@@ -78,8 +78,40 @@ def test_failed_run_leaves_nothing_and_repeats_nothing(spark):
     assert rows(ledger.changes(), "run_id", "relative_path") == [(2, "x"), (3, "y")]
     assert [c["watermark"] for c in ledger.commits()] == [micros(3), micros(9)]
     with pytest.raises(RuntimeError):
-        ledger._publish(1, {})
-    assert len(ledger.commits()) == 2
+        ledger.log.publish(1, {})
+    assert len(ledger.commits()) == 2 and ledger.vacuum() == 1 and ledger.vacuum() == 0
+    assert rows(ledger.changes(), "run_id", "relative_path") == [(2, "x"), (3, "y")]
+
+
+def test_two_runs_from_one_watermark(spark, monkeypatch):
+    seen = spark.createDataFrame([(1, "a", "x", 5, at(1), at(1), "", 0)], SEEN).drop("newest", "side")
+    base = spark.createDataFrame([], META).drop("changed")
+    root = scratch(spark, "ledger")
+    one, two = (WatermarkLedger(spark, root, ["collection", "relative_path"]) for _ in range(2))
+    real, args = two.log.publish, (seen, "delivered_at", micros(2), ["found_at", "obs_id"], "mtime", base)
+    monkeypatch.setattr(two.log, "publish", lambda n, m: (one.run(1, *args), real(n, m)))
+    with pytest.raises(RuntimeError):
+        two.run(2, *args)
+    assert rows(one.changes(), "run_id", "relative_path") == [(1, "x")] and one.vacuum() == 1
+
+
+def test_manifests_are_given_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from siltstone.runtime import ManifestLog
+
+    log = ManifestLog(spark, scratch(spark, "log"))
+
+    def attempt(k):
+        try:
+            log.publish(0, {"writer": k})
+            return k
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(attempt, range(24)) if k is not None]
+    assert len(won) == 1 and log.last() == (0, {"writer": won[0]}) and log.numbers() == [0]
 
 
 def test_count_below(spark):
