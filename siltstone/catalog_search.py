@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.text import title
 from .operators import fusion, late_interaction as L, lexical, vectors as V
 from .registry import query
-from .runtime import table
+from .runtime import scratch, table
 
 QUERY = "stubborn iterator team replaces folder"
 TYPO = "stuborn iteratro team"
@@ -86,7 +86,7 @@ def q_bm25_collection(spark, sf_dir):
     docs = corpus(spark, sf_dir)
     idx = lexical.build(docs, "doc_id", ["body"])
     own = docs.where("collection = 'handbook'").select(F.col("doc_id").alias("doc"))
-    return lexical.top(lexical.bm25(idx, QUERY).join(own, "doc", "left_semi"), 10).select("doc", F.round("score", 6).alias("score"))
+    return lexical.top(lexical.bm25(idx, QUERY, only=own), 10).select("doc", F.round("score", 6).alias("score"))
 
 
 _NEAR = ", ".join(f"('{t}')" for t in TYPO.split())
@@ -115,6 +115,39 @@ def q_bm25_stemmed(spark, sf_dir):
     return lexical.top(lexical.bm25(idx, QUERY, {"title": lexical.TITLE_BOOST}), 10).select("doc", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"WITH {_TOKENS}, {_bm25_sql(QUERY.split(), boost="CASE field WHEN 'title' THEN 2 ELSE 1 END")} "
+    "SELECT doc::VARCHAR AS doc, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, doc::VARCHAR LIMIT 10"
+)
+def q_index_roundtrip(spark, sf_dir):
+    """A stored index, read back and searched."""
+    at = scratch(spark, "index")
+    lexical.save(corpus(spark, sf_dir), "doc_id", ["title", "body"], at)
+    found = lexical.bm25(lexical.load(spark, at), QUERY, {"title": lexical.TITLE_BOOST})
+    return lexical.top(found, 10).select("doc", F.round("score", 6).alias("score"))
+
+
+_KEPT = "(SELECT * FROM documents WHERE collection IS NULL OR collection <> 'handbook')"
+
+
+@query(
+    f"WITH {_TOKENS.replace('FROM documents', f'FROM {_KEPT}')}, numbers AS (SELECT 'df' AS what, field, term, df::DOUBLE AS n FROM terms UNION ALL SELECT 'mean', field, NULL, avg_len FROM flds) "
+    "SELECT what, field, term, round(n, 6) AS n FROM numbers"
+)
+def q_index_update(spark, sf_dir):
+    """An index of half the documents, brought up to date: a collection goes, the other half and new versions come."""
+    docs, old, new = corpus(spark, sf_dir), scratch(spark, "index"), scratch(spark, "index")
+    first = docs.where("doc_id % 2 = 0 OR collection = 'handbook'")
+    lexical.save(first.withColumn("body", F.when(F.col("doc_id") % 6 == 0, "words of an older version").otherwise(F.col("body"))), "doc_id", ["title", "body"], old)
+    gone = docs.where("collection = 'handbook'").select(F.col("doc_id").alias("doc"))
+    changed = docs.where("(doc_id % 2 = 1 OR doc_id % 6 = 0) AND (collection IS NULL OR collection <> 'handbook')")
+    lexical.update(spark, old, new, changed, "doc_id", gone)
+    idx = lexical.load(spark, new)
+    df = idx.terms.select(F.lit("df").alias("what"), "field", "term", F.col("df").cast("double").alias("n"))
+    mean = idx.fields.select(F.lit("mean").alias("what"), "field", F.lit(None).cast("string").alias("term"), F.col("avg_len").alias("n"))
+    return df.unionByName(mean).select("what", "field", "term", F.round("n", 6).alias("n"))
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 QUERY_VEC = [round(np.cos(i * 0.7) / np.sqrt(32), 6) for i in range(64)]

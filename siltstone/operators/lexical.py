@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.stemmer import stem, stemmed
 from ..functions.text import tokens
@@ -74,6 +74,102 @@ def build(docs: DataFrame, doc: str, fields: list[str], stemming: bool = False)
     return LexicalIndex(_raw(docs, doc, fields), lengths, stats, vocabulary)
 
 
+BUCKETS = 64
+POSTINGS = "bucket int, field string, term string, doc string, tf bigint, len bigint"
+TERMS = "field string, term string, df bigint"
+FIELDS = "field string, n_docs bigint, avg_len double"
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass
+class StoredIndex:
+    """An index kept as tables: postings by bucket of the term (POSTINGS), dictionary (TERMS) and field lengths (FIELDS).
+
+    A search reads the buckets of its terms, in them the row groups that hold
+    the terms, and no text.
+    """
+
+    stored: DataFrame
+    terms: DataFrame
+    fields: DataFrame
+    stemmed: bool
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.stored.select("field", "term", "doc", "tf")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.stored.select("field", "doc", "len").distinct()
+
+    def matching(self, wanted: list[str] | None) -> DataFrame:
+        rows = self.stored
+        if wanted is not None:
+            rows = rows.where(F.col("bucket").isin([_bucket(F.lit(t)) for t in wanted]) & F.col("term").isin(wanted))
+        return rows.select("field", "term", "doc", "len", "tf")
+
+
+def stored_rows(docs: DataFrame, doc: str, fields: list[str], stemming: bool = False) -> DataFrame:
+    """The postings of documents as a stored index keeps them."""
+    idx = build(docs, doc, fields, stemming)
+    return idx.matching(None).select(_bucket(F.col("term")).alias("bucket"), "field", "term", F.col("doc").cast("string").alias("doc"), "tf", "len")
+
+
+def laid_out(stored: DataFrame) -> DataFrame:
+    """Postings in the order they are written in: a few files per bucket, terms together."""
+    part = F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4))
+    return stored.withColumn("_part", part).repartition("bucket", "_part").sortWithinPartitions("bucket", "field", "term").drop("_part")
+
+
+def dictionary(stored: DataFrame) -> DataFrame:
+    return stored.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def field_stats(stored: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs: a row per document, those without terms included."""
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    total = stored.groupBy("field").agg(F.sum("tf").alias("total")).join(F.broadcast(n), how="inner")  # a single row
+    return total.select("field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avg_len"))
+
+
+def save(docs: DataFrame, doc: str, fields: list[str], path: str, stemming: bool = False) -> None:
+    """Write the index of documents under a folder; its description comes last, an index without it is none."""
+    _save(stored_rows(docs, doc, fields, stemming), docs.select(F.col(doc).cast("string").alias("doc")), fields, path, stemming)
+
+
+def _save(stored: DataFrame, docs: DataFrame, fields: list[str], path: str, stemming: bool) -> None:
+    spark = docs.sparkSession
+    laid_out(stored).write.partitionBy("bucket").parquet(f"{path}/postings")
+    kept = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    docs.write.parquet(f"{path}/docs")
+    dictionary(kept).write.parquet(f"{path}/terms")
+    field_stats(kept, docs).write.parquet(f"{path}/fields")
+    spark.createDataFrame([(stemming, fields)], "stemmed boolean, names array<string>").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str) -> StoredIndex:
+    about = spark.read.parquet(f"{path}/about").first()
+    read = lambda name, kind: spark.read.schema(kind).parquet(f"{path}/{name}")
+    return StoredIndex(read("postings", POSTINGS), read("terms", TERMS), read("fields", FIELDS), about["stemmed"])
+
+
+def update(spark: SparkSession, old: str, new: str, docs: DataFrame, doc: str, gone: DataFrame) -> None:
+    """The index at `old` without the documents of `gone` (doc) and with `docs` put in place of theirs, written to `new`.
+
+    Only the texts of `docs` are read. A document that is both gone and given is kept as given.
+    """
+    about = spark.read.parquet(f"{old}/about").first()
+    ids = docs.select(F.col(doc).cast("string").alias("doc")).distinct()
+    out = gone.select(F.col("doc").cast("string").alias("doc")).unionByName(ids).distinct()
+    was = load(spark, old).stored
+    stored = was.join(out, "doc", "left_anti").select(*was.columns).unionByName(stored_rows(docs, doc, about["names"], about["stemmed"]))
+    kept = spark.read.schema("doc string").parquet(f"{old}/docs").join(out, "doc", "left_anti").unionByName(ids)
+    _save(stored, kept, about["names"], new, about["stemmed"])
+
+
 def query_terms(query: str, stemming: bool = False) -> list[str]:
     """Analysed terms of a query in order; query syntax has no meaning."""
     import regex
@@ -91,7 +187,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | ((F.length(a) >= 2) & (F.length(a) == F.length(b)) & swap)
 
 
-def fuzzy_terms(index: LexicalIndex, wanted: list[str], field: str = "body") -> DataFrame:
+def fuzzy_terms(index: LexicalIndex | StoredIndex, wanted: list[str], field: str = "body") -> DataFrame:
     """asked, term: dictionary terms within one edit of a query term of three bytes or more.
 
     The query is a handful of literals, so the dictionary is scanned once with
@@ -106,11 +202,12 @@ def fuzzy_terms(index: LexicalIndex, wanted: list[str], field: str = "body") ->
     return rows.where(near).where(within_one_edit(F.col("asked"), F.col("term")))
 
 
-def bm25(index: LexicalIndex, query: str, boosts: dict[str, float] | None = None, fuzzy: bool = False) -> DataFrame:
+def bm25(index: LexicalIndex | StoredIndex, query: str, boosts: dict[str, float] | None = None, fuzzy: bool = False, only: DataFrame | None = None) -> DataFrame:
     """doc, score: the sum over query terms and fields of BM25 times the field's boost.
 
     A repeated query term counts as often as it is given. With fuzzy each
-    further dictionary term within one edit adds the constant 1.
+    further dictionary term within one edit adds the constant 1. only: the
+    documents (doc) to be scored; frequencies are those of all documents.
     """
     wanted = query_terms(query, index.stemmed)
     boosts = boosts or {}
@@ -122,16 +219,19 @@ def bm25(index: LexicalIndex, query: str, boosts: dict[str, float] | None = None
     hit = materialize(index.matching(list(counts)), "hits")  # read for document frequencies and for scores
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    own = (lambda rows: rows) if only is None else (lambda rows: rows.join(only.select("doc"), "doc", "left_semi"))
     part = (
-        hit.join(hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"])
+        own(hit).join(hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), ["field", "term"])
         .join(index.fields, "field")
         .select("doc", (weight[F.col("term")] * boost * idf * norm).alias("s"))
     )
     if fuzzy:
-        near = fuzzy_terms(index, wanted).select("asked", "term").distinct()
-        part = part.unionByName(
-            index.postings.where(F.col("field") == "body").join(near, "term").select("doc", "asked").distinct().select("doc", F.lit(1.0).alias("s"))
-        )
+        # dictionary terms one edit from a handful of query terms: a bounded list, with which postings are pruned
+        near = [tuple(r) for r in fuzzy_terms(index, wanted).select("asked", "term").distinct().collect()]
+        if near:
+            found = own(index.matching(sorted({t for _, t in near})).where(F.col("field") == "body"))
+            pairs = found.sparkSession.createDataFrame(near, "asked string, term string")
+            part = part.unionByName(found.join(F.broadcast(pairs), "term").select("doc", "asked").distinct().select("doc", F.lit(1.0).alias("s")))
     return part.groupBy("doc").agg(F.sum("s").alias("score"))
 
 
