@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
 from .operators import fusion, late_interaction as L, lexical, lookup, upsert as U, vectors as V
-from .runtime import delete_path, materialize
+from .runtime import ManifestLog, delete_path, folders, materialize
 from .sources import files as S
 
 Encoder = Callable[[list[str]], list[np.ndarray]]
@@ -30,7 +31,7 @@ def hashing_encoder(dim: int = 32) -> Encoder:
         out = []
         for t in texts:
             rows = []
-            for w in regex.findall(r"[\p{L}\p{N}]+", t.lower())[:300]:
+            for w in regex.findall(r"[\p{L}\p{N}]+", t.lower()):
                 v = np.random.default_rng(xxhash.xxh3_64_intdigest(w)).standard_normal(dim)
                 rows.append(v / np.linalg.norm(v))
             out.append(np.array(rows) if rows else np.zeros((0, dim)))
@@ -60,52 +61,71 @@ class Engine:
         "documents": "collection string, path string, title string, text string, body string, mtime bigint, full_hex string, content_hash string",
         "manifest": "doc string, pos int, chunk string, start_byte bigint, byte_len bigint",
         "tokens": "chunk string, tok int, vec array<double>",
+        "postings": lexical.POSTINGS,
+        "terms": lexical.TERMS,
+        "fields": lexical.FIELDS,
+        "codes": "doc string, cid int, code binary",
+        "codec": "nbits int, centroids array<array<double>>, cutoffs array<double>, weights array<double>",
         "user_metadata": "full_hex string, metadata string",
         "settings": "key string, value string",
     }
 
     def __init__(self, spark: SparkSession, root: str, encoder: Encoder | None = None, model: str = "hashing"):
         self.spark, self.root, self.model = spark, root.rstrip("/"), model
-        self.encoder = encoder or hashing_encoder()
+        self.encoder, self.stand_in = encoder or hashing_encoder(), encoder is None
 
     # --- tables -------------------------------------------------------------------------------
 
-    def _current(self, name: str) -> str | None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.current")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return None
-        s = fs.open(p)
-        try:
-            return bytes(s.readAllBytes()).decode()
-        finally:
-            s.close()
+    @property
+    def log(self) -> ManifestLog:
+        return ManifestLog(self.spark, f"{self.root}/log")
 
     def table(self, name: str) -> DataFrame:
-        at = self._current(name)
-        return self.spark.read.schema(self.TABLES[name]).parquet(at) if at else self.spark.createDataFrame([], self.TABLES[name])
+        _, last = self.log.last()
+        at = (last or {"tables": {}})["tables"].get(name)
+        return self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/data/{at}") if at else self.spark.createDataFrame([], self.TABLES[name])
 
     def _swap(self, tables: dict[str, DataFrame]) -> None:
-        """Write new versions beside the old ones, then point to them; a failed write changes nothing."""
-        stamp = f"{time.time_ns():020d}"
-        written = {}
-        for name, df in tables.items():
-            written[name] = f"{self.root}/data/{name}-{stamp}"
-            df.select(*[c.split()[0] for c in self.TABLES[name].split(", ")]).write.parquet(written[name])
-        jvm = self.spark.sparkContext._jvm
-        for name, path in written.items():
-            old = self._current(name)
-            final, staged = (jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}.{x}") for x in ("current", f"staged-{stamp}"))
-            fs = final.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            s = fs.create(staged, True)
-            s.write(path.encode())
-            s.close()
-            if fs.exists(final):
-                fs.delete(final, False)
-            fs.rename(staged, final)
-            if old:
-                delete_path(self.spark, old)
+        """Write new versions beside the old ones and commit them together.
+
+        One manifest names the current version of every table. Its number is
+        given once: a write that fails, or meets another one, changes nothing.
+        Old versions stay for readers under way until `vacuum`.
+        """
+        number, last = self.log.last()
+        now = dict((last or {"tables": {}})["tables"])
+        written = []
+        try:
+            for name, df in tables.items():
+                at = f"{name}-{uuid.uuid4().hex}"
+                written.append(at)
+                rows = df.select(*[c.split()[0] for c in self.TABLES[name].split(", ")])
+                (lexical.laid_out(rows).write.partitionBy("bucket") if name == "postings" else rows.write).parquet(f"{self.root}/data/{at}")
+                now[name] = at
+            self.log.publish(number + 1, {"tables": now})
+        except BaseException:
+            for at in written:
+                delete_path(self.spark, f"{self.root}/data/{at}")
+            raise
+
+    def rollback(self) -> None:
+        """Go back to the state before the last commit."""
+        number, _ = self.log.last()
+        if number < 0:
+            raise ValueError("nothing was committed")
+        before = self.log.read(number - 1) if number else {"tables": {}}
+        self.log.publish(number + 1, before)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete table versions that none of the last `keep` commits names; returns how many."""
+        numbers = self.log.numbers()
+        held = {at for n in numbers[-keep:] for at in self.log.read(n)["tables"].values()}
+        gone = [f for f in folders(self.spark, f"{self.root}/data") if f not in held]
+        for f in gone:
+            delete_path(self.spark, f"{self.root}/data/{f}")
+        for n in numbers[:-keep]:
+            self.log.drop(n)
+        return len(gone)
 
     # --- collections, contexts, metadata ----------------------------------------------------------
 
@@ -123,6 +143,7 @@ class Engine:
         ids = gone.select("full_hex")
         self._swap(
             {
+                **self._lexical(self.table("documents").where("false"), ids, self.table("documents").where(F.col("collection") != name)),
                 "collections": self.table("collections").where(F.col("collection") != name),
                 "manifest": U.delete(self.table("manifest"), ids.withColumnRenamed("full_hex", "doc"), ["doc"]),
                 "user_metadata": U.delete(self.table("user_metadata"), ids, ["full_hex"]),
@@ -158,8 +179,8 @@ class Engine:
     def sync(self, only: str | None = None) -> DataFrame:
         """Bring the index up to date with the folders; returns path changes (collection, path, change).
 
-        Files whose content changed are chunked anew; chunks already embedded
-        are not embedded again. All tables are written before any is switched.
+        Files whose content changed are chunked and indexed anew; chunks already
+        embedded are not embedded again. All tables change in one commit.
         """
         self._check_model()
         now = None
@@ -183,21 +204,71 @@ class Engine:
         fresh = now.join(diff.where("change <> 'deleted'"), ["collection", "path"], "left_semi")
         gone = lookup.with_ids(diff).select("full_hex")
         docs = U.delete(old, gone, ["full_hex"]).unionByName(fresh)
-        rows = fresh.select(F.col("full_hex").alias("doc"), F.explode(T.chunks("body")).alias("c"))
+        model = self.spark.createDataFrame([("model", self.model)], self.TABLES["settings"])
+        self._swap(
+            {
+                **self._chunked(fresh, gone),
+                **self._lexical(fresh, gone, docs),
+                "settings": U.upsert(self.table("settings"), model, ["key"]),
+                "documents": docs,
+            }
+        )
+        now.unpersist()
+        return diff
+
+    def _chunked(self, fresh: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
+        """New manifest, tokens and codes after the documents `fresh` came and those of `gone` (full_hex) went.
+
+        Chunks cover the whole text. Known chunks are not embedded again, and
+        the codec stays as it was fitted at first.
+        """
+        rows = fresh.select(F.col("full_hex").alias("doc"), F.explode(T.chunks("body", contiguous=True)).alias("c"))
         chunked = rows.select("doc", F.col("c.idx").alias("pos"), T.chunk_hex("c.text", self.model).alias("chunk"), "c.start_byte", F.octet_length("c.text").cast("bigint").alias("byte_len"), "c.text")
+        chunked = materialize(chunked, "chunks")
         manifest = U.delete(self.table("manifest"), gone.withColumnRenamed("full_hex", "doc"), ["doc"]).unionByName(chunked.drop("text"))
         missing = U.cache_misses(chunked, self.table("tokens"))
         todo = chunked.select("chunk", "text").dropDuplicates(["chunk"]).join(missing, "chunk", "left_semi")
-        tokens = self.table("tokens").unionByName(self._embed(todo))
-        model = self.spark.createDataFrame([("model", self.model)], self.TABLES["settings"])
-        self._swap({"tokens": tokens, "manifest": manifest, "settings": U.upsert(self.table("settings"), model, ["key"]), "documents": docs})
-        return diff
-
-    def rebuild(self) -> DataFrame:
-        """Index everything anew, embeddings and model included."""
-        empty = {n: self.spark.createDataFrame([], self.TABLES[n]) for n in ("documents", "manifest", "tokens", "settings")}
-        self._swap(empty)
-        return self.sync()
+        new = materialize(self._embed(todo), "tokens")
+        tokens = self.table("tokens").unionByName(new)
+        out = {"manifest": manifest, "tokens": tokens}
+        codec = self._codec()
+        if codec is None:
+            n = tokens.count()
+            if not n:
+                return out
+            codec, new = V.fit_codec(tokens.withColumn("key", F.xxhash64("chunk", "tok", "vec")), V.centroid_count(n), vec="vec", key="key"), tokens
+            row = (codec.nbits, codec.centroids.tolist(), codec.cutoffs.tolist(), codec.weights.tolist())
+            out["codec"] = self.spark.createDataFrame([row], self.TABLES["codec"])
+        codes = V.encode(new.select(F.col("chunk").alias("doc"), "vec"), codec, "vec")
+        return out | {"codes": self.table("codes").unionByName(codes)}
+
+    def _codec(self) -> V.Codec | None:
+        r = self.table("codec").first()
+        return V.Codec(r["nbits"], np.array(r["centroids"]), np.array(r["cutoffs"]), np.array(r["weights"])) if r else None
+
+    def _lexical(self, fresh: DataFrame, gone: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
+        """New postings, dictionary and field lengths; of texts only those of `fresh` are read."""
+        old = self.table("postings")
+        rows = lexical.stored_rows(fresh, "full_hex", ["title", "body"], stemming=True)
+        kept = materialize(U.delete(old, gone.select(F.col("full_hex").alias("doc")), ["doc"]).select(*old.columns).unionByName(rows), "postings")
+        return {"postings": kept, "terms": lexical.dictionary(kept), "fields": lexical.field_stats(kept, docs)}
+
+    def rebuild(self, what: str = "all") -> DataFrame | None:
+        """Index anew: `all` from the folders, embeddings and model included; `index` or `embeddings` only, from the documents at hand."""
+        docs = self.table("documents")
+        none = docs.where("false").select("full_hex")
+        empty = {n: self.spark.createDataFrame([], k) for n, k in self.TABLES.items()}
+        if what == "index":
+            self._swap(self._lexical(docs, docs.select("full_hex"), docs))
+        elif what == "embeddings":
+            self._swap({n: empty[n] for n in ("manifest", "tokens", "codes", "codec")})
+            self._swap(self._chunked(docs, none))
+        elif what == "all":
+            self._swap({n: empty[n] for n in ("documents", "manifest", "tokens", "codes", "codec", "postings", "terms", "fields", "settings")})
+            return self.sync()
+        else:
+            raise ValueError(f"no such part of the index: {what}")
+        return None
 
     def _embed(self, chunks: DataFrame, factor: int = 2) -> DataFrame:
         encoder = self.encoder
@@ -214,12 +285,9 @@ class Engine:
     # --- search ------------------------------------------------------------------------------
 
     def _bm25(self, query: str, o: SearchOptions) -> DataFrame:
-        docs = self.table("documents")
-        idx = lexical.build(docs, "full_hex", ["title", "body"], stemming=True)
-        scored = lexical.bm25(idx, query, {"title": lexical.TITLE_BOOST}, fuzzy=o.fuzzy)
-        if o.collection:
-            scored = scored.join(docs.where(F.col("collection") == o.collection).select(F.col("full_hex").alias("doc")), "doc", "left_semi")
-        return scored
+        idx = lexical.StoredIndex(self.table("postings"), self.table("terms"), self.table("fields"), stemmed=True)
+        only = self.table("documents").where(F.col("collection") == o.collection).select(F.col("full_hex").alias("doc")) if o.collection else None
+        return lexical.bm25(idx, query, {"title": lexical.TITLE_BOOST}, fuzzy=o.fuzzy, only=only)
 
     def _semantic(self, query: str, k: int, o: SearchOptions) -> DataFrame:
         """doc, score, best_chunk; chunks outside the collection are left out before the search."""
@@ -227,15 +295,14 @@ class Engine:
         if o.collection:
             docs = docs.where(F.col("collection") == o.collection)
         owners = self.table("manifest").join(docs.select(F.col("full_hex").alias("doc")), "doc", "left_semi").select("chunk", "doc").distinct()
-        toks = self.table("tokens").join(owners.select("chunk").distinct(), "chunk", "left_semi").select(F.col("chunk").alias("doc"), "vec")
-        q = self.encoder([query])[0]
-        n = toks.count()
-        if not len(q) or not n:
+        q, codec = self.encoder([query])[0], self._codec()
+        if not len(q) or codec is None:
             return owners.where("false").select("doc", F.lit(0.0).alias("score"), F.lit("").alias("best_chunk"))
-        toks = toks.withColumn("key", F.xxhash64("doc", "vec"))
-        codec = V.fit_codec(toks, V.centroid_count(n), vec="vec", key="key")
-        codes = V.encode(toks.select("doc", "vec"), codec, "vec")
-        hits = L.search(codes, codec, q, L.SearchParams.for_k(max(OVERSAMPLE * k, OVERSAMPLE_LEAST)))
+        codes = self.table("codes").join(owners.select(F.col("chunk").alias("doc")).distinct(), "doc", "left_semi")
+        params = L.SearchParams.for_k(max(OVERSAMPLE * k, OVERSAMPLE_LEAST))
+        if self.stand_in:  # hashed words are alike or unrelated, so no centroid is near enough to be told by a threshold
+            params = replace(params, n_probe=8, threshold=None)
+        hits = L.search(codes, codec, q, params)
         return fusion.collapse(hits.withColumnRenamed("doc", "chunk"), owners)
 
     def search(self, query: str, options: SearchOptions | None = None) -> DataFrame:
@@ -250,7 +317,7 @@ class Engine:
         elif o.mode == "semantic":
             found = self._semantic(query, o.count, o).where(F.col("score") >= o.min_score)
         else:
-            sem = self._semantic(query, fusion.LEG_LIMIT, o).cache()
+            sem = materialize(self._semantic(query, fusion.LEG_LIMIT, o), "semantic")
             fused = fusion.reciprocal_rank_fusion(fusion.ranked(self._bm25(query, o)), fusion.ranked(sem))
             found = fused.join(sem.select("doc", "best_chunk"), "doc", "left")
         return self._enrich(found.orderBy(F.desc("score"), "doc").limit(limit), query)
@@ -303,27 +370,24 @@ class Engine:
             raise ValueError(f"not a document path: {path!r}")
         row = self.spark.createDataFrame([(collection, clean, text, int(time.time()))], "collection string, path string, text string, mtime bigint")
         new = lookup.with_ids(S.prepare(row)).withColumn("content_hash", F.sha2("text", 256))
-        rows = new.select(F.col("full_hex").alias("doc"), F.explode(T.chunks("body")).alias("c"))
-        chunked = rows.select("doc", F.col("c.idx").alias("pos"), T.chunk_hex("c.text", self.model).alias("chunk"), "c.start_byte", F.octet_length("c.text").cast("bigint").alias("byte_len"), "c.text")
         old = self.table("documents")
-        todo = chunked.select("chunk", "text").dropDuplicates(["chunk"]).join(self.table("tokens").select("chunk"), "chunk", "left_anti")
-        self._swap(
-            {
-                "tokens": self.table("tokens").unionByName(self._embed(todo)),
-                "manifest": U.delete(self.table("manifest"), new.select(F.col("full_hex").alias("doc")), ["doc"]).unionByName(chunked.drop("text")),
-                "documents": U.upsert(old, new.select(*old.columns), ["full_hex"]),
-            }
-        )
+        new = new.select(*old.columns)
+        docs, ids = U.upsert(old, new, ["full_hex"]), new.select("full_hex")
+        tables = {**self._chunked(new, ids), **self._lexical(new, ids, docs), "documents": docs}
         if metadata is not None:
-            self.set_metadata(new.select("full_hex", F.lit(json.dumps(metadata)).alias("metadata")))
+            said = new.select("full_hex", F.lit(json.dumps(metadata)).alias("metadata"))
+            tables["user_metadata"] = U.upsert(self.table("user_metadata"), said, ["full_hex"])
+        self._swap(tables)
 
     def delete(self, reference: str) -> None:
         docs = self.table("documents")
         gone = docs.join(lookup.resolve(docs, reference), ["collection", "path"], "left_semi").select("full_hex")
+        kept = U.delete(docs, gone, ["full_hex"])
         self._swap(
             {
+                **self._lexical(docs.where("false"), gone, kept),
                 "manifest": U.delete(self.table("manifest"), gone.withColumnRenamed("full_hex", "doc"), ["doc"]),
                 "user_metadata": U.delete(self.table("user_metadata"), gone, ["full_hex"]),
-                "documents": U.delete(docs, gone, ["full_hex"]),
+                "documents": kept,
             }
         )

@@ -64,3 +64,65 @@ def test_life_of_a_collection(spark, folder):
         other.sync()
     e.remove_collection("notes")
     assert e.collections().count() == 0 and e.table("documents").count() == 0 and e.table("tokens").count() > 0
+
+
+def test_commits_are_whole(spark, folder, monkeypatch):
+    """Whatever step of a write fails, all tables stay as they were; a rollback takes back the last commit."""
+    from siltstone import engine as M
+
+    e = Engine(spark, scratch(spark, "engine"))
+    e.add_collection("notes", str(folder))
+    e.sync()
+    before, commits = rows(e.table("documents"), "path"), e.log.numbers()
+    writes = len(e.TABLES)
+    real = M.lexical.laid_out
+    (folder / "python.md").write_text("# Python intro\n\nwombat\n")
+
+    def broken(rows_):
+        raise OSError("disk lost")
+
+    monkeypatch.setattr(M.lexical, "laid_out", broken)
+    with pytest.raises(OSError):
+        e.sync()
+    monkeypatch.setattr(M.lexical, "laid_out", real)
+    other = Engine(spark, e.root)
+    real_publish = M.ManifestLog.publish
+    stolen = []
+
+    def late(log, number, manifest):
+        if not stolen:
+            stolen.append(1)
+            other.set_context("doc://notes", "by another writer")
+        real_publish(log, number, manifest)
+
+    monkeypatch.setattr(M.ManifestLog, "publish", late)
+    with pytest.raises(RuntimeError):
+        e.sync()
+    monkeypatch.setattr(M.ManifestLog, "publish", real_publish)
+    assert rows(e.table("documents"), "path") == before and len(e.log.numbers()) == len(commits) + 1
+    assert e.search("wombat", SearchOptions(mode="bm25")).count() == 0 and e.table("contexts").count() == 1
+    e.sync()
+    assert e.search("wombat", SearchOptions(mode="bm25")).count() == 1
+    e.rollback()
+    assert e.search("wombat", SearchOptions(mode="bm25")).count() == 0 and rows(e.table("documents"), "path") == before
+    e.sync()
+    assert e.vacuum(keep=1) > 0 and len(e.log.numbers()) == 1 and e.search("wombat", SearchOptions(mode="hybrid", count=1)).first()["path"] == "python.md" and writes > 10
+
+
+def test_search_reads_the_stored_index(spark, folder):
+    e = Engine(spark, scratch(spark, "engine"))
+    e.add_collection("notes", str(folder))
+    e.sync()
+    plan = e._bm25("rust borrowing", SearchOptions())._jdf.queryExecution().toString()
+    assert "postings-" in plan or "hits" in plan
+    assert "documents-" not in plan  # no text is read to score
+    first = e.table("codec").first()
+    e.ingest("notes", "long.md", "# Long\n\n" + "filler " * 900 + "platypus " + "filler " * 400)
+    assert e.table("codec").first() == first  # the codec stays, new codes join
+    hit = e.search("platypus", SearchOptions(mode="semantic", count=1)).first()
+    assert hit["path"] == "long.md"
+    for what in ("index", "embeddings"):
+        e.rebuild(what)
+        assert e.search("platypus", SearchOptions(mode="bm25", count=1)).first()["path"] == "long.md"
+    with pytest.raises(ValueError):
+        e.rebuild("nothing")
