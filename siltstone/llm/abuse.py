@@ -51,6 +51,15 @@ _LOOKALIKE = str.maketrans(
     "аеорсухіјѕԁһкмтвнгпиαεορτυνικß",
     "aeopcyxijsdhkmtbhrnuaeoptuviks",
 )
+class _Marks(dict):
+    """Translation that drops combining marks and replaces look-alikes."""
+
+    def __missing__(self, c: int):
+        out = self[c] = None if unicodedata.combining(chr(c)) else _LOOKALIKE.get(c, c)
+        return out
+
+
+_marks = _Marks()
 _INVISIBLE = re.compile("[­͏؜ᅟ᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _MOJIBAKE = re.compile("[ÃÂ][\u0080-¿Œ-™]")
 _APART = re.compile(r"(?<![^\W_])([^\W\d_])(?:([.\-_*])[^\W_])(?:\2[^\W_])+\2?(?![^\W_])")
@@ -77,7 +86,7 @@ def fold(s: str) -> str:
             out.append(part)
         s = "".join(out)
     s = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", s).casefold().replace("ß", "ss"))
-    return "".join(c for c in s if not unicodedata.combining(c)).translate(_LOOKALIKE)
+    return s.translate(_marks)
 
 
 _BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|h[1-6]|br|div|pre|tr|td|table|blockquote)\b[^<>]{0,200}>")
@@ -134,26 +143,42 @@ def _joined(s: str) -> str:
     return _SPACED.sub(_join_spaced, _APART.sub(_join_apart, s))
 
 
-def _words(passage: str):
-    for m in _WORD.finditer(passage):
-        w = m[0].strip(".'’`!~-_=").lstrip("*#^%")
-        if w and ("_" in m[0] or "~" in m[0]) and m[0][0] not in "_~" and (tail := re.match("[_~]+", m[0][m[0].index(w) + len(w) :])):
-            w += tail[0]  # a masked last letter
-        if not w:
-            continue
-        if "-" in w or "'" in w or "’" in w:
-            parts = re.split(r"[-'’]", w)
-            if all(len(p) > 1 for p in parts if p):
-                yield from ((m.start(), p) for p in parts if p)
-                continue
-            w = "".join(parts)
-        yield m.start(), w
+class _Split(dict):
+    """The words of a run of characters without blanks; runs seen before are looked up."""
+
+    def __missing__(self, run: str) -> tuple[str, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        out = self[run] = tuple(_words_of(run))
+        return out
+
+
+def _words_of(run: str):
+    w = run.strip(".'’`!~-_=").lstrip("*#^%")
+    if w and ("_" in run or "~" in run) and run[0] not in "_~" and (tail := re.match("[_~]+", run[run.index(w) + len(w) :])):
+        w += tail[0]  # a masked last letter
+    if not w:
+        return
+    if "-" in w or "'" in w or "’" in w:
+        parts = re.split(r"[-'’]", w)
+        if all(len(p) > 1 for p in parts if p):
+            yield from (p for p in parts if p)
+            return
+        w = "".join(parts)
+    yield w
+
+
+_split = _Split()
+
+
+def _words(passage: str) -> list[str]:
+    return [w for run in _WORD.findall(passage) for w in _split[run]]
 
 
 # --- words and terms ------------------------------------------------------------------------------
 
 _ENDINGS = ("s", "es", "e", "n", "en", "er", "r", "in", "ed", "ing")
-_LETTER = re.compile(r"[^\W\d_]")
+_STRETCHED = re.compile(r"(.)\1{2,}")
 
 
 class Matcher:
@@ -171,8 +196,24 @@ class Matcher:
         self.trie = Automaton(self.terms)
         #: What is left of a term without a letter; words one edit apart share one of these.
         self.left = self.terms | {t[:i] + t[i + 1 :] for t in self.terms for i in range(len(t))}
+        self.starts = {t[:i] for t in self.terms for i in range(len(t) + 1)}
+        self.ends = {t[i:] for t in self.terms for i in range(len(t) + 1)}
         self.known: dict[str, tuple[str, float] | None] = {}
 
+    def _may(self, word: str) -> bool:
+        """Whether a disguised word may be near a term; most are ruled out here without the automaton."""
+        parts = re.split(f"[{re.escape(MASKS)}]+", word)
+        if len(parts) == 1:
+            for f in _spelled(word):
+                f = re.sub(r"(.)\1\1+", r"\1\1", f)
+                for g in (f, re.sub(r"(.)\1", r"\1", f)):
+                    if g in self.left or any(g[:i] + g[i + 1 :] in self.left for i in range(len(g))):
+                        return True
+            return False
+        # what stands before the first mask and after the last one begins and ends a term, one of them with an edit at most
+        first, last = ([re.sub(r"(.)\1+", r"\1", f) for f in _spelled(x)] for x in (parts[0], parts[-1]))
+        return any(f in self.starts for f in first) or any(f in self.ends for f in last) or any(re.search(r"(.)\1", x) for x in (parts[0], parts[-1]))
+
     def _weight(self, term: str) -> float:
         return WEIGHTS[KINDS[term][0]] if term in KINDS else 0.0
 
@@ -209,7 +250,7 @@ class Matcher:
         masked = any(c in MASKS for c in word)
         if masked and letters < 2 and sum(c in MASKS for c in word) < 3:
             return None
-        found = self._nearest(word, plain=False)
+        found = self._nearest(word, plain=False) if len(word) <= 40 + 2 * len(_STRETCHED.findall(word)) and self._may(word) else None
         if not masked and (not found or found[1] < 1):
             # words that are no terms count only as they are spelled
             found = next(((f, 1.0) for f in _spelled(word) if f in self.words and f not in self.terms), found)
@@ -322,7 +363,7 @@ def windows(text: str | None):
         for p in _BREAK.split(_joined(reading)):
             if not p:
                 continue
-            words = [w for _, w in _words(p)]
+            words = _words(p)
             if not words:
                 continue
             quoted = frozenset(w for q in _QUOTED.findall(p) for w in q.replace(",", " ").split()) if '"' in p or "“" in p or "«" in p or "„" in p or "'" in p else frozenset()
@@ -330,33 +371,62 @@ def windows(text: str | None):
                 yield words[at : at + WINDOW], quoted
 
 
+class _Hot(dict):
+    """Whether a word stands for a key that speaks for abuse."""
+
+    def __init__(self, model: Model, match: Matcher):
+        self.model, self.match = model, match
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        f = self.match(word)
+        out = self[word] = f is not None and self.model.weight(f[0]) > 0
+        return out
+
+
 class Scorer:
-    """Scores texts by a model."""
+    """Scores texts by a model.
+
+    Words of `common` are no misspelt terms. A window in which no word speaks
+    for abuse has the model's bias, whatever speaks against it.
+    """
 
-    def __init__(self, model: Model, vocabulary: frozenset[str] = frozenset(), common: frozenset[str] | None = frozenset()):
+    def __init__(self, model: Model, vocabulary: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()):
         self.model, self.common = model, common
         self.match = model.matcher(vocabulary)
+        self.hot = _Hot(model, self.match)
 
-    def _found(self, words: list[str], near: set[str] | None) -> list[tuple[str, float] | None]:
-        out = [self.match(w) for w in words]
-        for i, f in enumerate(out):
-            if f and f[1] < 1 and words[i].isalpha():
-                if near is not None:
-                    near.add(words[i])
-                if self.common is None or words[i] in self.common:
-                    out[i] = None
-            elif near is not None and f and f[0] in self.model.terms:
-                near.add(f[0])
-        return out
-
-    def log_odds(self, words: list[str], quoted: frozenset[str] = frozenset(), near: set[str] | None = None) -> float:
+    def _sum(self, words: list[str], found: list[tuple[str, float] | None], quoted: frozenset[str]) -> float:
         w = self.model.weight
-        return self.model.bias + sum(w(k) * s for k, s in features(words, self._found(words, near), quoted).items())
-
-    def __call__(self, text: str | None, near: set[str] | None = None) -> float:
-        """The probability that the worst window is abusive; null and empty texts score 0."""
-        z = max((self.log_odds(w, q, near) for w, q in windows(text)), default=-math.inf)
-        return round(1 / (1 + math.exp(min(50.0, -z))), 6) if z > -50 else 0.0
+        return self.model.bias + sum(w(k) * s for k, s in features(words, found, quoted).items())
+
+    def both(self, words: list[str], quoted: frozenset[str] = frozenset(), near: set[str] | None = None) -> tuple[float, float]:
+        """Log-odds of a window, and what they were if no plain word stood for a misspelt term."""
+        if not any(map(self.hot.__getitem__, words)):
+            return self.model.bias, self.model.bias
+        found = list(map(self.match, words))
+        plain = [f and f[1] < 1 and w.isalpha() for w, f in zip(words, found)]
+        if near is not None:
+            near.update(w if p else f[0] for w, f, p in zip(words, found, plain) if f and (p or f[0] in self.model.terms))
+        if not any(plain):
+            z = self._sum(words, found, quoted)
+            return z, z
+        z = self._sum(words, [None if p and w in self.common else f for w, f, p in zip(words, found, plain)], quoted)
+        return z, self._sum(words, [None if p else f for f, p in zip(found, plain)], quoted)
+
+    def log_odds(self, words: list[str], quoted: frozenset[str] = frozenset()) -> float:
+        return self.both(words, quoted)[0]
+
+    def scores(self, text: str | None, near: set[str] | None = None) -> tuple[float, float]:
+        """The probability that the worst window is abusive, with and without misspelt plain words; null and empty texts score 0."""
+        z = [self.both(w, q, near) for w, q in windows(text)]
+        if not z:
+            return 0.0, 0.0
+        return tuple(round(1 / (1 + math.exp(min(50.0, max(-50.0, -max(x))))), 6) for x in zip(*z))
+
+    def __call__(self, text: str | None) -> float:
+        return self.scores(text)[0]
 
 
 _plain = None
@@ -510,14 +580,14 @@ def abuse_scores(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast((model, vocabulary))
 
     def first(batches):
-        scorer, without = Scorer(*shared.value), Scorer(*shared.value, common=None)
+        scorer = Scorer(*shared.value)
         for b in batches:
             scores, words, kept = [], [], []
             for t in b.column("text").to_pylist():
                 near: set[str] = set()
-                score = scorer(t, near)
-                # the text and the words near terms stay only where these make a difference
-                kept.append(t if any(w not in model.terms for w in near) and without(t) != score else None)
+                score, without = scorer.scores(t, near)
+                # the text stays only where a misspelt plain word makes a difference
+                kept.append(t if without != score else None)
                 scores.append(score)
                 words.append(sorted(near))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(kept, pa.string()), pa.array(scores, pa.float64()), pa.array(words, READ[4].type)], schema=READ)
