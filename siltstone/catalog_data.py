@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.text import glob_pattern
+from .functions.text import glob_pattern, wiki_links
 from .operators import lookup, packages, upsert
 from .registry import query
-from .runtime import table
+from .runtime import scratch, table
+from .sources.embeddings import EmbeddingStore
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +128,33 @@ def q_cache_misses(spark, sf_dir):
     return upsert.cache_misses(wanted, table(spark, sf_dir, "embedding_matrices").select(F.col("chunk_id").alias("chunk")))
 
 
-@query("SELECT dimension, count(*) AS matrices, sum(num_tokens) AS tokens, sum((len(data) = num_tokens * dimension)::INT) AS whole FROM embedding_matrices GROUP BY 1")
+def stored(spark: SparkSession, sf_dir: str) -> EmbeddingStore:
+    """A store that got the matrices in two generations, the first with other data for every third chunk."""
+    store = EmbeddingStore(spark, scratch(spark, "embeddings"))
+    rows = table(spark, sf_dir, "embedding_matrices").where("chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+    rows = rows.select(F.col("chunk_id").cast("string").alias("chunk"), "num_tokens", "dimension", "data")
+    third = F.pmod(F.col("chunk").cast("bigint"), F.lit(3)) == 0
+    store.store(rows.withColumn("data", F.when(third, F.transform("data", lambda x: x * 2)).otherwise(F.col("data"))), 1)
+    store.store(rows.where(third), 2)
+    return store
+
+
+_WHOLE = "(SELECT DISTINCT chunk_id, num_tokens, dimension, data FROM embedding_matrices WHERE chunk_id IS NOT NULL AND len(data) = num_tokens * dimension)"
+
+
+@query(f"SELECT dimension, count(*) AS matrices, sum(num_tokens)::BIGINT AS tokens FROM {_WHOLE} GROUP BY 1")
 def q_embedding_shapes(spark, sf_dir):
-    return table(spark, sf_dir, "embedding_matrices").groupBy("dimension").agg(
-        F.count(F.lit(1)).alias("matrices"), F.sum("num_tokens").alias("tokens"), F.sum(F.expr("cast(size(data) = num_tokens * dimension AS int)")).alias("whole")
-    )
+    return stored(spark, sf_dir).shapes().groupBy("dimension").agg(F.count(F.lit(1)).alias("matrices"), F.sum("num_tokens").alias("tokens"))
+
+
+@query(
+    f"""WITH w AS (SELECT DISTINCT best_chunk_doc_id AS pos FROM search_results WHERE best_chunk_doc_id IS NOT NULL)
+SELECT pos, pos::VARCHAR AS chunk, num_tokens, round(data[1]::DOUBLE, 5) AS head FROM w LEFT JOIN {_WHOLE} ON chunk_id = pos"""
+)
+def q_embedding_batch(spark, sf_dir):
+    wanted = table(spark, sf_dir, "search_results").where("best_chunk_doc_id IS NOT NULL").select(F.col("best_chunk_doc_id").alias("pos")).distinct()
+    got = stored(spark, sf_dir).batch_load(wanted.withColumn("chunk", F.col("pos").cast("string")))
+    return got.select("pos", "chunk", "num_tokens", F.round(F.try_element_at("data", F.lit(1)).cast("double"), 5).alias("head"))
 
 
 @query("SELECT DISTINCT ON (item_id) item_id, item_kind, qualified_path FROM rust_items WHERE item_kind = 'trait' AND (qualified_path LIKE 'tessellate::%')")
@@ -195,3 +218,108 @@ def q_sync_plan(spark, sf_dir):
 def q_glob_braces(spark, sf_dir):
     rows = table(spark, sf_dir, "discovered_files").select(F.col("relative_path").alias("path"), "collection").distinct()
     return rows.where(F.col("path").rlike(glob_pattern("*.{md,txt}")))
+
+
+_ITEMS = "(SELECT DISTINCT ON (item_id) * FROM rust_items WHERE item_id IS NOT NULL ORDER BY item_id)"
+
+
+def once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "rust_items").where("item_id IS NOT NULL").dropDuplicates(["item_id"])
+
+
+@query(f"SELECT item_id, qualified_path FROM {_ITEMS} WHERE item_kind = 'fn' AND visibility = 'pub'")
+def q_items_visible(spark, sf_dir):
+    return packages.items(table(spark, sf_dir, "rust_items").where("item_id IS NOT NULL"), "fn", visible=True).select("item_id", "qualified_path")
+
+
+@query(
+    f"""WITH d AS (SELECT qualified_path, max(signature) AS doc FROM rust_items WHERE item_kind = 'fn' AND coalesce(signature, '') <> '' AND qualified_path IS NOT NULL GROUP BY 1)
+SELECT item_id, coalesce(doc, doc_markdown) AS doc_markdown FROM {_ITEMS} LEFT JOIN d USING (qualified_path)"""
+)
+def q_merge_docs(spark, sf_dir):
+    """Items documented from another source: here the signatures of the functions of the same path."""
+    rows = table(spark, sf_dir, "rust_items").where("item_kind = 'fn' AND coalesce(signature, '') <> '' AND qualified_path IS NOT NULL")
+    docs = rows.groupBy("qualified_path").agg(F.max("signature").alias("doc"))
+    return packages.merge_docs(once(spark, sf_dir), docs).select("item_id", "doc_markdown")
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of packages; of each third name the highest is yanked, and each has a pre-release above all."""
+    rows = table(spark, sf_dir, "rust_items").where("crate_name IS NOT NULL AND crate_version IS NOT NULL")
+    rows = rows.select(F.col("crate_name").alias("name"), F.col("crate_version").alias("num")).distinct()
+    top = rows.groupBy("name").agg(F.max_by("num", packages.version_key("num")).alias("top"))
+    marked = rows.join(top, "name").select("name", "num", ((F.col("num") == F.col("top")) & (F.length("name") % 3 == 0)).alias("yanked"))
+    pre = rows.select("name").distinct().select("name", F.lit("99.0.0-beta.2").alias("num"), F.lit(False).alias("yanked"))
+    return marked.unionByName(pre)
+
+
+_VERSIONS = r"""v AS (SELECT DISTINCT crate_name AS name, crate_version AS num, list_transform(string_split(crate_version, '.'), lambda x: x::INT) AS k FROM rust_items
+  WHERE regexp_full_match(crate_version, '\d+\.\d+\.\d+') AND crate_name IS NOT NULL),
+m AS (SELECT *, length(name) % 3 = 0 AND k = max(k) OVER (PARTITION BY name) AS yanked FROM v)"""
+
+
+@query(f"WITH {_VERSIONS} SELECT name, num FROM m WHERE NOT yanked QUALIFY row_number() OVER (PARTITION BY name ORDER BY k DESC) = 1")
+def q_semver_yanked(spark, sf_dir):
+    return packages.latest(versions(spark, sf_dir))
+
+
+@query(f"WITH {_VERSIONS} SELECT DISTINCT name, num FROM m WHERE num = '1.0.0' UNION SELECT crate_name, '99.0.0-beta.2' FROM rust_items WHERE crate_name IS NOT NULL AND crate_version IS NOT NULL")
+def q_semver_exact(spark, sf_dir):
+    rows = versions(spark, sf_dir)
+    return packages.exact(rows, "1.0.0").unionByName(packages.exact(rows, "99.0.0-beta.2"))
+
+
+@query(f"WITH {_VERSIONS} SELECT DISTINCT crate_name AS name, crate_version AS version FROM rust_items WHERE crate_name IS NOT NULL AND crate_version IS NOT NULL AND NOT (crate_name = 'tessellate' AND crate_version LIKE '0.3.%')")
+def q_evict(spark, sf_dir):
+    cached = versions(spark, sf_dir).where("num <> '99.0.0-beta.2'").select("name", F.col("num").alias("version"))
+    return packages.evict(cached, "tessellate", "^0.3").select("name", "version")
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT crate_name AS name, crate_version AS version, floor(epoch(fetched_at))::BIGINT AS resolved_at FROM source_files WHERE fetched_at IS NOT NULL AND crate_name IS NOT NULL),
+n AS (SELECT max(resolved_at) AS now FROM r) SELECT name, version, resolved_at FROM r, n WHERE now - resolved_at > 86400"""
+)
+def q_stale(spark, sf_dir):
+    rows = table(spark, sf_dir, "source_files").where("fetched_at IS NOT NULL AND crate_name IS NOT NULL")
+    rows = rows.select(F.col("crate_name").alias("name"), F.col("crate_version").alias("version"), F.unix_timestamp("fetched_at").alias("resolved_at")).distinct()
+    now = rows.agg(F.max("resolved_at")).first()[0] or 0
+    return packages.stale(rows.withColumn("spec", F.lit("latest")), now, 86_400).select("name", "version", "resolved_at")
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT query_id, doc_num_id, rank_no, score FROM search_results WHERE leg = 'bm25' AND score IS NOT NULL AND NOT isnan(score) AND rank_no IS NOT NULL AND query_id IS NOT NULL AND doc_num_id IS NOT NULL)
+SELECT '{"query_id":' || query_id || ',"doc_num_id":' || doc_num_id || ',"rank_no":' || rank_no || ',"score":"' || printf('%.6f', score) || '"}' AS json FROM r"""
+)
+def q_result_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "search_results").where("leg = 'bm25' AND NOT isnan(score)").select("query_id", "doc_num_id", "rank_no", "score").dropna()
+    return lookup.result_json(rows.distinct())
+
+
+@query(
+    r"""WITH docs AS (SELECT DISTINCT collection, path FROM document_responses WHERE collection IS NOT NULL AND path IS NOT NULL),
+links AS (SELECT DISTINCT collection, trim(string_split(string_split(unnest(regexp_extract_all(content, '\[\[([^\[\]\n]+)\]\]', 1)), '|')[1], '#')[1]) AS target
+  FROM document_responses WHERE collection IS NOT NULL AND content IS NOT NULL),
+l AS (SELECT *, CASE WHEN regexp_matches(target, '\.[A-Za-z0-9]+$') THEN target ELSE target || '.md' END AS p,
+  lower(regexp_replace(string_split(target, '/')[-1], '(.)\.[^.]*$', '\1')) AS stem FROM links WHERE target <> ''),
+one AS (SELECT collection, lower(regexp_replace(string_split(path, '/')[-1], '(.)\.[^.]*$', '\1')) AS stem, min(path) AS only_path FROM docs GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT l.collection, l.target, coalesce(d.path, one.only_path) AS path FROM l LEFT JOIN docs d ON d.collection = l.collection AND d.path = l.p LEFT JOIN one ON one.collection = l.collection AND one.stem = l.stem"""
+)
+def q_link_targets(spark, sf_dir):
+    rows = table(spark, sf_dir, "document_responses").where("collection IS NOT NULL")
+    found = rows.where("content IS NOT NULL").select("collection", F.explode(F.regexp_extract_all("content", F.lit(r"\[\[([^\[\]\n]+)\]\]"), F.lit(1))).alias("raw"))
+    target = F.trim(F.split_part(F.split_part("raw", F.lit("|"), F.lit(1)), F.lit("#"), F.lit(1)))
+    links = found.select("collection", target.alias("target")).where("target <> ''").distinct()
+    return lookup.link_targets(links, rows.where("path IS NOT NULL")).select("collection", "target", "path")
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT collection, relative_path AS path, mtime FROM document_metadata WHERE mtime IS NOT NULL AND collection IS NOT NULL AND relative_path IS NOT NULL),
+n AS (SELECT collection, relative_path AS path, max(mtime) AS mtime FROM discovered_files WHERE mtime IS NOT NULL AND collection <> 'handbook' AND relative_path IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM n UNION ALL SELECT * FROM d WHERE collection <> 'handbook' AND (collection, path) NOT IN (SELECT (collection, path) FROM n)"""
+)
+def q_update(spark, sf_dir):
+    """One collection goes, files of the others are put in place."""
+    old = metadata(spark, sf_dir).where("mtime IS NOT NULL").distinct()
+    rows = table(spark, sf_dir, "discovered_files").where("mtime IS NOT NULL AND collection <> 'handbook' AND relative_path IS NOT NULL")
+    new = rows.groupBy("collection", F.col("relative_path").alias("path")).agg(F.max("mtime").alias("mtime"))
+    return upsert.update(old, new, old.where("collection = 'handbook'").select("collection", "path"), ["collection", "path"])

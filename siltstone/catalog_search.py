@@ -11,6 +11,7 @@ from .functions.text import title
 from .operators import fusion, late_interaction as L, lexical, vectors as V
 from .registry import query
 from .runtime import scratch, table
+from .sources import index_store
 
 QUERY = "stubborn iterator team replaces folder"
 TYPO = "stuborn iteratro team"
@@ -287,12 +288,59 @@ def q_index_search(spark, sf_dir):
     return found.select("doc", F.round("score", 4).alias("score"))
 
 
-@query()
+_GOOD = """g AS (SELECT DISTINCT ON (chunk_id) chunk_id, num_tokens AS n, dimension AS d, data FROM embedding_matrices WHERE chunk_id IS NOT NULL AND num_tokens > 0 AND dimension > 0
+  AND len(data) = num_tokens * dimension AND NOT list_bool_or(list_transform(data, lambda x: x IS NULL OR isnan(x))))"""
+
+
+def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embedding_matrices").where("chunk_id IS NOT NULL AND size(data) = num_tokens * dimension")
+    return rows.dropDuplicates(["chunk_id"])
+
+
+@query(
+    f"""WITH {_GOOD}, cells AS (SELECT chunk_id, d, n, unnest(range(0, d)) AS dim, data FROM g WHERE n <= 64)
+SELECT chunk_id, dim, round(list_avg(list_transform(range(0, n), lambda t: data[t * d + dim + 1]::DOUBLE)), 5) AS x FROM cells"""
+)
 def q_token_pool(spark, sf_dir):
-    rows = L.pool_matrices(table(spark, sf_dir, "embedding_matrices").dropDuplicates(["chunk_id"]))
+    """With a factor above their length matrices pool to the mean of their tokens."""
+    rows = L.pool_matrices(matrices(spark, sf_dir).where("num_tokens <= 64"), 64).where("tok = 0")
+    means = rows.where("tok = 0").select("chunk_id", F.posexplode("vec").alias("dim", "x"))
+    return means.select("chunk_id", "dim", F.round("x", 5).alias("x"))
+
+
+@query(f"WITH {_GOOD} SELECT chunk_id, CASE WHEN n = 1 THEN 1 WHEN n = 2 THEN 1 ELSE least(n, (n + 1) // 2 + 1) END::BIGINT AS tokens FROM g")
+def q_token_pool_counts(spark, sf_dir):
+    """Half as many vectors and one more; vectors that are all different."""
+    rows = L.pool_matrices(matrices(spark, sf_dir))
     return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 
+@query(f"WITH {_GOOD} SELECT chunk_id, round(data[1]::DOUBLE, 5) AS first, (CASE WHEN n <= 2 THEN n ELSE 1 + least(n - 1, greatest((n - 1) // 2, 1)) END)::BIGINT AS tokens FROM g")
+def q_token_pool_protected(spark, sf_dir):
+    """The first vector stays as it is, the others pool to half their number."""
+    rows = L.pool_matrices(matrices(spark, sf_dir), 2, protected=1)
+    first = F.round(F.max(F.when(F.col("tok") == 0, F.col("vec")[0])), 5)
+    return rows.groupBy("chunk_id").agg(first.alias("first"), F.count(F.lit(1)).alias("tokens"))
+
+
+@query(f"WITH {_SIMS} SELECT vec_id AS tok, qi, round(list_inner_product(embedding::DOUBLE[], qv), 6) AS s FROM embeddings, q")
+def q_token_scores(spark, sf_dir):
+    toks = vecs(spark, sf_dir).select(F.col("label").alias("doc"), F.col("vec_id").alias("tok"), F.col("embedding").alias("vec"))
+    rows = L.token_scores(toks, np.array(QUERY_ROWS)).select("tok", F.posexplode("scores").alias("qi", "s"))
+    return rows.select("tok", "qi", F.round("s", 6).alias("s"))
+
+
+@query(f"WITH {_CODE} SELECT vec_id, cid, b[1] + 4 * b[2] + 16 * b[3] + 64 * b[4] AS head FROM buckets")
+def q_vector_index_roundtrip(spark, sf_dir):
+    """Codes and codec saved and loaded again."""
+    at = scratch(spark, "vectors")
+    rows = vecs(spark, sf_dir).select("vec_id", F.col("label").alias("doc"), "embedding")
+    index_store.save(V.encode(rows, fixed_codec(spark, sf_dir)), fixed_codec(spark, sf_dir), at)
+    codes, codec = index_store.load(spark, at)
+    assert codec.nbits == 2 and np.allclose(codec.centroids, fixed_codec(spark, sf_dir).centroids)
+    return codes.select("vec_id", "cid", F.conv(F.substr(F.hex("code"), F.lit(1), F.lit(2)), 16, 10).cast("bigint").alias("head"))
+
+
 # --- fusion -----------------------------------------------------------------------------------------
 
 

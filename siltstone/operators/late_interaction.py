@@ -84,17 +84,20 @@ def approximate_maxsim(codes: DataFrame, scores: np.ndarray, kept: np.ndarray |
 
     A document all of whose centroids are pruned scores minus infinity.
     """
-    n_q, n_c = scores.shape
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in scores[:, c]]) for c in range(n_c)])
-    rows = codes.select(doc, "cid").distinct()
-    if kept is not None:
-        rows = rows.withColumn("ok", F.array(*[F.lit(bool(x)) for x in kept])[F.col("cid")])
-    else:
-        rows = rows.withColumn("ok", F.lit(True))
-    rows = rows.withColumn("s", F.when(F.col("ok"), table[F.col("cid")]))
-    best = rows.groupBy(doc).agg(*[F.max(F.col("s")[i]).alias(f"m{i}") for i in range(n_q)])
-    total = sum((F.col(f"m{i}") for i in range(1, n_q)), F.col("m0"))
-    return best.select(F.col(doc).alias("doc"), F.coalesce(total, F.lit(float("-inf"))).alias("score"))
+    n_q = scores.shape[0]
+    table = np.where(np.ones(scores.shape[1], bool) if kept is None else kept, scores, -np.inf).T
+    shared = codes.sparkSession.sparkContext.broadcast(table)  # MAX_CENTROIDS rows, a column per query token
+    kind = codes.schema[doc].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                best = pd.DataFrame(shared.value[b["cid"].to_numpy()]).groupby(b[doc].to_numpy()).max()
+                yield pd.DataFrame({"doc": best.index, "m": list(best.to_numpy())})
+
+    part = codes.where(F.col(doc).isNotNull()).select(doc, "cid").mapInPandas(run, f"doc {kind}, m array<double>")
+    cols = [F.max(F.col("m")[i]) for i in range(n_q)]
+    return part.groupBy("doc").agg(sum(cols[1:], cols[0]).alias("score"))
 
 
 def _shortlist(scored: DataFrame, n: int) -> DataFrame:
@@ -133,18 +136,31 @@ def ward_clusters(x: np.ndarray, n: int) -> np.ndarray:
     d = np.clip(1 - x.astype(np.float64) @ x.T.astype(np.float64), 0, 2)
     np.fill_diagonal(d, np.inf)
     size = np.ones(m)
+    # every cluster knows its nearest one; a merge asks anew only where that is no longer right
+    near = d.argmin(axis=1)
+    far = d[np.arange(m), near]
     label = np.arange(m)
-    alive = np.ones(m, bool)
     for _ in range(m - n):
-        i, j = divmod(int(np.argmin(np.where(alive[:, None] & alive[None, :], d, np.inf))), m)
-        i, j = min(i, j), max(i, j)
+        i = int(far.argmin())
+        i, j = sorted((i, int(near[i])))
         s = size[i] + size[j] + size
-        new = np.sqrt(np.maximum(((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * d[i, j] ** 2) / s, 0))
+        with np.errstate(invalid="ignore"):
+            new = np.sqrt(np.maximum(((size[i] + size) * d[i] ** 2 + (size[j] + size) * d[j] ** 2 - size * d[i, j] ** 2) / s, 0))
+        new[~np.isfinite(d[i])] = np.inf  # clusters that are gone
+        new[[i, j]] = np.inf
         d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        alive[j] = False
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         label[label == j] = i
+        far[j] = np.inf
+        again = (near == i) | (near == j)
+        again[i] = True
+        again[j] = False
+        for k in np.flatnonzero(again & np.isfinite(far)):
+            near[k] = d[k].argmin()
+            far[k] = d[k, near[k]]
+        closer = new < far
+        near[closer], far[closer] = i, new[closer]
     return np.unique(label, return_inverse=True)[1]
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import document_hex, glob_pattern
+from ..runtime import materialize
 
 LEAST_ID = 6
 
@@ -21,10 +22,10 @@ def short_ids(docs: DataFrame) -> DataFrame:
 
     In the order of the ids only neighbours can share the longest prefix, so
     two neighbours are looked at instead of all pairs. Ids are spread evenly,
-    so their first two digits split the work; across such a split fewer than
-    six digits are shared.
+    so their first LEAST_ID - 1 digits split the work into up to a million
+    parts; across such a split fewer than LEAST_ID digits are shared.
     """
-    w = W.partitionBy(F.substring("full_hex", 1, 2)).orderBy("full_hex")
+    w = W.partitionBy(F.substring("full_hex", 1, LEAST_ID - 1)).orderBy("full_hex")
     ids = docs.select("full_hex").distinct()
 
     def common(other: str):
@@ -120,6 +121,7 @@ def directory_hashes(files: DataFrame) -> DataFrame:
             .withColumn("kind", F.lit("d"))
             .withColumn("depth", F.lit(depth - 1))
         )
+        dirs = materialize(dirs, "level")  # read by its own result and by every level above
         done = dirs if done is None else done.unionByName(dirs)
         nodes = nodes.where(F.col("depth") < depth).unionByName(dirs)
     if done is None:

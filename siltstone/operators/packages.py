@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import glob_pattern
 
+#: Into so many pieces the impls of one trait name are split.
+PIECES = 8
+
 _SEMVER = r"^(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
 
 
@@ -114,7 +117,7 @@ def items(table: DataFrame, kind: str | None = None, prefix: str | None = None,
         rows = rows.where((F.col("qualified_path") == p) | F.col("qualified_path").startswith(p + "::"))
     if visible:
         rows = rows.where(F.col("visibility") == "pub")
-    return rows.dropDuplicates(["item_id"])
+    return rows.dropDuplicates(["item_id"]).orderBy("qualified_path", "item_id")
 
 
 def lower_items(table: DataFrame) -> DataFrame:
@@ -141,12 +144,16 @@ def lower_items(table: DataFrame) -> DataFrame:
 
 
 def implementors(traits: DataFrame, impls: DataFrame) -> DataFrame:
-    """trait_path, impl_signature: impls of a trait by its full path, else by its last segment."""
+    """trait_path, impl_signature: impls of a trait by its full path, else by its last segment.
+
+    Impls of a common name are split into pieces, each of which meets all
+    traits of the name, so no task holds a whole name.
+    """
     last = F.element_at(F.split("trait_path", "::"), -1)
     full = traits.join(impls, "trait_path").select("trait_path", "impl_signature")
-    t = traits.select("trait_path", last.alias("seg"))
-    i = impls.select(F.col("trait_path").alias("other"), last.alias("seg"), "impl_signature")
-    return full.unionByName(t.join(i, "seg").where("trait_path <> other").select("trait_path", "impl_signature"))
+    t = traits.select("trait_path", last.alias("seg"), F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("piece"))
+    i = impls.select(F.col("trait_path").alias("other"), last.alias("seg"), "impl_signature", F.pmod(F.xxhash64("impl_signature"), F.lit(PIECES)).cast("int").alias("piece"))
+    return full.unionByName(t.join(i, ["seg", "piece"]).where("trait_path <> other").select("trait_path", "impl_signature"))
 
 
 def merge_docs(items_: DataFrame, docs: DataFrame) -> DataFrame:

@@ -84,13 +84,24 @@ def assign(vectors: DataFrame, centroids: np.ndarray, vec: str = "embedding") ->
 
 def centroid_means(assigned: DataFrame, previous: DataFrame, vec: str = "embedding") -> DataFrame:
     """cid, vec: the mean of each cluster; an empty cluster keeps its centroid."""
-    means = (
-        assigned.select("cid", F.posexplode(vec).alias("dim", "x"))
-        .groupBy("cid", "dim")
-        .agg(F.avg("x").alias("x"))
-        .groupBy("cid")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
-    )
+
+
+    def sums(batches):
+        """One row per centroid and Arrow batch is shuffled, not one per vector and dimension."""
+        total: dict[int, list] = {}
+        for b in batches:
+            for cid, at in b.groupby("cid").indices.items():
+                x = np.stack(b[vec].to_numpy()[at]).astype(np.float64)
+                have = total.setdefault(int(cid), [np.zeros(x.shape[1]), 0])
+                have[0] += x.sum(axis=0)
+                have[1] += len(x)
+        yield pd.DataFrame([(c, s, n) for c, (s, n) in total.items()], columns=["cid", "total", "n"])
+
+    part = assigned.where(F.col(vec).isNotNull()).select("cid", vec).mapInPandas(sums, "cid int, total array<double>, n bigint")
+    add = lambda a, b: F.when(F.size(a) == 0, b).otherwise(F.zip_with(a, b, lambda x, y: x + y))
+    # a row per centroid and task: bounded by the centroids and the number of tasks
+    both = part.groupBy("cid").agg(F.sum("n").alias("n"), F.aggregate(F.collect_list("total"), F.array().cast("array<double>"), add).alias("total"))
+    means = both.select("cid", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
     return previous.join(means, "cid", "left").select("cid", F.coalesce("mean", "vec").alias("vec"))
 
 

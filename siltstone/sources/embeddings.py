@@ -28,7 +28,8 @@ class EmbeddingStore:
     def store(self, matrices: DataFrame, generation: int) -> None:
         """Add matrices; those whose data doesn't fit their shape are refused."""
         good = matrices.where("size(data) = num_tokens * dimension")
-        good.select("chunk", "num_tokens", "dimension", "data", F.lit(generation).cast("bigint").alias("generation")).write.mode("append").parquet(
+        kinds = [F.col(c).cast(k).alias(c) for c, k in (x.split() for x in SCHEMA.split(", "))]
+        good.select(*kinds, F.lit(generation).cast("bigint").alias("generation")).write.mode("append").parquet(
             f"{self.root}/generation={generation:08d}-part"
         )
 
