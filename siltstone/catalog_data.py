@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.text import glob_pattern, wiki_links
+from .functions.rust import source_items
+from .functions.text import glob_pattern
 from .operators import lookup, packages, upsert
 from .registry import query
 from .runtime import scratch, table
@@ -323,3 +324,10 @@ def q_update(spark, sf_dir):
     rows = table(spark, sf_dir, "discovered_files").where("mtime IS NOT NULL AND collection <> 'handbook' AND relative_path IS NOT NULL")
     new = rows.groupBy("collection", F.col("relative_path").alias("path")).agg(F.max("mtime").alias("mtime"))
     return upsert.update(old, new, old.where("collection = 'handbook'").select("collection", "path"), ["collection", "path"])
+
+
+@query()
+def q_parse_items(spark, sf_dir):
+    """Items that the Rust files declare."""
+    files = table(spark, sf_dir, "source_files").where("endswith(source_file, '.rs')").dropDuplicates(["file_id"])
+    return source_items(files).select("file_id", "item_kind", "path", "visibility", "line_start", "line_end")
