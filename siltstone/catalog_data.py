@@ -245,11 +245,11 @@ def q_merge_docs(spark, sf_dir):
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of packages; of each third name the highest is yanked, and each has a pre-release above all."""
+    """Versions of packages; of some names the highest release is yanked, and each has a pre-release above all."""
     rows = table(spark, sf_dir, "rust_items").where("crate_name IS NOT NULL AND crate_version IS NOT NULL")
     rows = rows.select(F.col("crate_name").alias("name"), F.col("crate_version").alias("num")).distinct()
-    top = rows.groupBy("name").agg(F.max_by("num", packages.version_key("num")).alias("top"))
-    marked = rows.join(top, "name").select("name", "num", ((F.col("num") == F.col("top")) & (F.length("name") % 3 == 0)).alias("yanked"))
+    top = rows.where(packages.version_key("num")["stable"] == 1).groupBy("name").agg(F.max_by("num", packages.version_key("num")).alias("top"))
+    marked = rows.join(top, "name", "left").select("name", "num", (F.col("num").eqNullSafe(F.col("top")) & (F.length("name") % 3 == 0)).alias("yanked"))
     pre = rows.select("name").distinct().select("name", F.lit("99.0.0-beta.2").alias("num"), F.lit(False).alias("yanked"))
     return marked.unionByName(pre)
 
