@@ -1,14 +1,14 @@
 """Nearest vectors of every vector through balanced posting lists.
 
-Centroids come from a two-level k-means on a bounded sample. A neighbour
-graph over the centroids is searched in memory (batched best-first search) for
-the lists of each vector; a vector joins its two nearest lists and every further
-list whose centroid is not much farther (distance ratio), so vectors near a
-boundary are in several lists. Within a list all members are compared;
-oversized lists are split once more by the same procedure. Where a first level
-of MAX_LISTS lists would leave more than ROUTE_ABOVE vectors in each, the rows
-are routed again through centroids of every list, as often as needed, so lists
-keep their size whatever the number of vectors. Copies of a vector are one
+Centroids come from a two-level k-means on a bounded sample. Every vector is
+compared with all centroids; it joins its two nearest lists and every further
+one whose centroid is hardly farther (distance ratio), so vectors near a
+boundary are in several lists. A short list is compared at once, a longer one
+within its task in small cells around centroids of its own, which overlap more
+than lists do. Lists grow with the table before their number does. Where
+MAX_LISTS lists would leave more than ROUTE_ABOVE members in each, the rows are
+routed again through centroids of every list, as often as needed.
+Copies of a vector are one
 member that carries the smallest of its ids; vectors count as copies if their
 directions differ by less than 1e-8 in cosine, less than the step (1e-6) in
 which cosines are compared.
@@ -27,19 +27,25 @@ K_NEAREST = 5
 #: Vectors the centroids are fitted on, at most; every vector is indexed.
 MAX_SAMPLE = 131_072
 MAX_LISTS = 16_384
-VECTORS_PER_LIST = 800
+#: Lists are as small as this until there are FIRST_LISTS of them; then they grow up to ROUTE_ABOVE, since vectors
+#: near each other part the more often the more lists there are.
+VECTORS_PER_LIST, FIRST_LISTS = 800, 256
 SAMPLE_PER_LIST = 64
-#: A list with more vectors is split by routing its rows, a smaller one within its task.
+#: A list with more members is split by routing its rows, a smaller one within its task.
 ROUTE_ABOVE = 65_536
 #: Bytes that a task of a shuffle reads, about.
 TASK_BYTES = 64 << 20
-MAX_REPLICAS = 3
+#: Lists that a vector is in, at most, and on average about.
+MAX_REPLICAS, REPLICAS = 6, 3
 #: A vector that is nearly its own centroid would be in no other list by the ratio.
 LEAST_LISTS = 2
-RATIO = 1.25
-GRAPH_DEGREE = 16
-#: Lists longer than this are split before their members are compared.
-SPLIT_ABOVE = 6_144
+RATIO = 1.035
+#: Lists longer than this are compared in cells within their task, of about so many members before they overlap.
+SPLIT_ABOVE, VECTORS_PER_CELL, SAMPLE_PER_CELL = 6_144, 256, 16
+#: As MAX_REPLICAS and RATIO for cells, which take no shuffle.
+CELL_REPLICAS, CELL_RATIO = 12, 1.07
+#: Scores of rows and centroids that are held at once.
+SCORES_AT_ONCE = 1 << 21
 SCALE = (1 << 23) - 1  # vectors travel as 24-bit fixed-point numbers
 COARSE = 1 << 8  # copies are told by the upper 16 bits, so rounding doesn't part them
 STEPS = 1_000_000  # scores are compared in steps of 1e-6
@@ -78,9 +84,10 @@ def _pack(q: np.ndarray) -> bytes:
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    b = np.frombuffer(raw, np.uint8).reshape(-1, DIM, 3).astype(np.int32)
-    q = b[:, :, 0] | (b[:, :, 1] << 8) | (b[:, :, 2] << 16)
-    return np.where(q >= 1 << 23, q - (1 << 24), q).astype(np.int32)
+    b = np.frombuffer(raw, np.uint8).reshape(-1, DIM, 3)
+    q = np.zeros((len(b), DIM, 4), np.uint8)
+    q[:, :, 1:] = b
+    return q.view("<i4")[:, :, 0] >> 8  # the sign comes along
 
 
 def _key(q: np.ndarray) -> np.ndarray:
@@ -120,58 +127,57 @@ def fit_centroids(x: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out).astype(np.float32)
 
 
-class CentroidGraph:
-    """Neighbour graph over centroids with batched best-first search."""
+class Centroids:
+    """Unit centroids and an exact search for the nearest ones.
+
+    All centroids are compared: in 64 dimensions a search through a graph of
+    them finds fewer of the nearest the more there are.
+    """
 
     def __init__(self, centroids: np.ndarray):
         self.c = centroids
         k = len(centroids)
-        d = min(GRAPH_DEGREE, k)
-        self.links = np.empty((k, d), np.int32)
-        for at in range(0, k, 1024):
-            s = centroids[at : at + 1024] @ centroids.T
-            self.links[at : at + 1024] = np.argpartition(-s, d - 1, axis=1)[:, :d]
-        # entries: an evenly thinned set of centroids (they are stored cell by cell)
-        self.entry = np.unique(np.linspace(0, k - 1, min(k, 4 * int(np.sqrt(k)) + 1)).astype(np.int32))
-
-    def search(self, x: np.ndarray, want: int, beam: int = 12, hops: int = 7) -> tuple[np.ndarray, np.ndarray]:
+        # scores are read in groups: what is among the `want` best is in one of the `want` groups with the best maxima
+        self.group = max(1, int(np.sqrt(k)))
+        pad = -k % self.group
+        self.t = np.ascontiguousarray(np.concatenate([centroids, np.zeros((pad, DIM), np.float32)]).T)
+
+    def search(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """The `want` nearest centroids of each row and their cosines, best first."""
-        rows = np.arange(len(x))[:, None]
-        s = x @ self.c[self.entry].T
-        b = min(beam, s.shape[1])
-        top = np.argpartition(-s, b - 1, axis=1)[:, :b]
-        ids, sc = self.entry[top], s[rows, top]
-        done = np.zeros(ids.shape, bool)
-        for _ in range(hops):
-            open_sc = np.where(done, -9.0, sc)
-            pick = np.argpartition(-open_sc, min(1, open_sc.shape[1] - 1), axis=1)[:, :2]
-            if (open_sc[rows, pick] <= -9).all():
-                break
-            done[rows, pick] = True
-            more = self.links[ids[rows, pick]].reshape(len(x), -1)
-            got = np.einsum("bkd,bd->bk", self.c[more], x)
-            ids, sc, done = np.hstack([ids, more]), np.hstack([sc, got]), np.hstack([done, np.zeros(more.shape, bool)])
-            # one entry per centroid: sort by id with expanded ones first and dropped ones last, drop the rest
-            o = np.argsort(ids * 4 + (sc <= -9) * 2 + ~done, axis=1)
-            ids, sc, done = ids[rows, o], sc[rows, o], done[rows, o]
-            again = np.zeros(ids.shape, bool)
-            again[:, 1:] = ids[:, 1:] == ids[:, :-1]
-            sc = np.where(again, -9.0, sc)
-            done |= again
-            b = min(max(beam, want), ids.shape[1])
-            top = np.argpartition(-sc, b - 1, axis=1)[:, :b]
-            ids, sc, done = ids[rows, top], sc[rows, top], done[rows, top]
-        o = np.argsort(-sc, axis=1, kind="stable")[:, :want]
-        return ids[rows, o], sc[rows, o]
-
-
-def choose_lists(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the two nearest lists and those within the distance ratio."""
-    ids, sc = graph.search(x, MAX_REPLICAS)
+        k, g = len(self.c), self.group
+        want = min(want, k)
+        out_ids, out_sc = [], []
+        step = max(64, SCORES_AT_ONCE // k)
+        for at in range(0, len(x), step):
+            s = x[at : at + step] @ self.t
+            s[:, k:] = -9.0
+            rows = np.arange(len(s))[:, None]
+            if want * g < k:
+                cells = s.reshape(len(s), -1, g)
+                best = np.argpartition(-cells.max(axis=2), want - 1, axis=1)[:, :want]
+                ids = (best[:, :, None] * g + np.arange(g)).reshape(len(s), -1)
+                sc = cells[rows, best].reshape(len(s), -1)
+            else:
+                ids, sc = np.broadcast_to(np.arange(s.shape[1]), s.shape), s
+            top = np.argpartition(-sc, want - 1, axis=1)[:, :want]
+            top = np.take_along_axis(top, np.argsort(-sc[rows, top], axis=1, kind="stable"), 1)
+            out_ids.append(ids[rows, top])
+            out_sc.append(sc[rows, top])
+        if not out_ids:
+            return np.zeros((0, want), np.int64), np.zeros((0, want), np.float32)
+        return np.concatenate(out_ids), np.concatenate(out_sc)
+
+
+#: The name under which the tests know it.
+CentroidGraph = Centroids
+
+
+def choose_lists(centroids: Centroids, x: np.ndarray, most: int | None = None, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: the two nearest lists and those within the distance ratio, `most` at most."""
+    ids, sc = centroids.search(x, most or MAX_REPLICAS)
     dist = np.sqrt(np.maximum(2 - 2 * sc, 0))
-    keep = dist <= np.maximum(dist[:, :1], 0.05) * RATIO
+    keep = dist <= np.maximum(dist[:, :1], 0.05) * (ratio or RATIO)
     keep[:, :LEAST_LISTS] = True
-    keep &= sc > -8
     row, col = np.nonzero(keep)
     return row, ids[row, col]
 
@@ -230,24 +236,63 @@ def _compare(keys: np.ndarray, q: np.ndarray, ids: np.ndarray, offs: np.ndarray)
 
 
 def _list_members(keys, q, ids, offs):
-    """Compare a list, splitting it by its own centroids while it is oversized."""
-    if len(keys) <= SPLIT_ABOVE:
-        yield (keys, *_compare(keys, q, ids, offs))
-        return
-    x = q.astype(np.float32) / SCALE
-    rng = np.random.default_rng(13)
-    fit = x[rng.choice(len(x), min(len(x), MAX_SAMPLE), replace=False)]
-    row, lst = choose_lists(CentroidGraph(fit_centroids(fit, len(x) // (SPLIT_ABOVE // 4))), x)
-    for part in np.unique(lst):
-        r = row[lst == part]
-        if len(r) >= len(keys):  # cannot be split: all but equal vectors
-            yield (keys, *_compare(keys, q, ids, offs))
+    """Compare a list; an oversized one in cells around its own centroids.
+
+    Cells overlap as lists do, but cost no shuffle, so they are small and a
+    member is in more of them. What its cells find is one row again.
+    """
+    if len(keys) > SPLIT_ABOVE:
+        found = _in_cells(q, ids, offs)
+        if found is not None:
+            yield (keys, *found)
             return
-    for part in np.unique(lst):
-        r = row[lst == part]
+    yield (keys, *_compare(keys, q, ids, offs))
+
+
+def _in_cells(q, ids, offs):
+    """As _compare, by cells; None if a list cannot be split."""
+    m = len(q)
+    rng = np.random.default_rng(13)
+    cells = max(2, m // VECTORS_PER_CELL)
+    fit = q[np.sort(rng.choice(m, min(m, MAX_SAMPLE, cells * SAMPLE_PER_CELL), replace=False))].astype(np.float32) / SCALE
+    centroids = Centroids(fit_centroids(fit, cells))
+    chosen = []
+    for at in range(0, m, MEMBERS_PER_BIN):
+        row, cell = choose_lists(centroids, q[at : at + MEMBERS_PER_BIN].astype(np.float32) / SCALE, CELL_REPLICAS, CELL_RATIO)
+        chosen.append(np.stack([row + at, cell]).astype(np.int32))
+    row, cell = np.concatenate(chosen, axis=1)
+    row = row[np.argsort(cell, kind="stable")]
+    ends = np.cumsum(np.bincount(cell, minlength=len(centroids.c)))
+    if np.diff(ends, prepend=0).max() >= m:  # all but equal vectors
+        return None
+    who, what, how = [], [], []
+    for a, b in zip(np.append(0, ends[:-1]), ends):
+        r = row[a:b]
+        if len(r) < 2:
+            continue
         w = np.diff(offs)[r]
         at = np.repeat(offs[:-1][r] - (np.cumsum(w) - w), w) + np.arange(w.sum())
-        yield from _list_members(keys[r], q[r], ids[at], np.append(0, np.cumsum(w)).astype(np.int32))
+        own = np.append(0, np.cumsum(w)).astype(np.int32)
+        inner = _in_cells(q[r], ids[at], own) if len(r) > SPLIT_ABOVE else None
+        flat, neg, n = inner or _compare(r, q[r], ids[at], own)
+        who.append(np.repeat(r, n))
+        what.append(flat)
+        how.append(neg.astype(np.int32))
+    if not who:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(m, np.int64)
+    who, what, how = np.concatenate(who), np.concatenate(what), np.concatenate(how)
+    o = np.lexsort((what, how, who))
+    who, what, how = who[o], what[o], how[o]
+    fresh = np.ones(len(who), bool)
+    fresh[1:] = (who[1:] != who[:-1]) | (how[1:] != how[:-1]) | (what[1:] != what[:-1])
+    who, what, how = who[fresh], what[fresh], how[fresh]
+    n = np.bincount(who, minlength=m)
+    keep = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) < K_NEAREST
+    return what[keep], how[keep].astype(np.int64), np.minimum(n, K_NEAREST)
+
+
+def _list_count(n: int) -> int:
+    return int(min(MAX_LISTS, max(1, min(FIRST_LISTS, n // VECTORS_PER_LIST), -(-REPLICAS * n // ROUTE_ABOVE))))
 
 
 def _rows_of(arr: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +329,7 @@ def _routed(listed: DataFrame, per_list: int) -> DataFrame:
 
     def fit(tbl: pa.Table) -> pa.Table:
         x = _unpack(b"".join(tbl.column("q").combine_chunks().to_pylist())).astype(np.float32) / SCALE
-        c = fit_centroids(x[:MAX_SAMPLE], int(min(MAX_LISTS, max(2, len(x) * every // VECTORS_PER_LIST))))
+        c = fit_centroids(x[:MAX_SAMPLE], max(2, _list_count(len(x) * every)))
         return pa.table({"list": tbl.column("list").slice(0, 1), "cents": pa.array([c.tobytes()], pa.binary())})
 
     fits = listed.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(every)) == 0).select("list", "q").groupBy("list").applyInArrow(fit, "list bigint, cents binary")
@@ -297,9 +342,9 @@ def _routed(listed: DataFrame, per_list: int) -> DataFrame:
             return LISTED.empty_table()
         if not cents.num_rows:  # a list too short for the sample stays one
             return tbl.select(LISTED.names)
-        graph = CentroidGraph(np.frombuffer(cents.column("cents")[0].as_py(), np.float32).reshape(-1, DIM))
+        centroids = Centroids(np.frombuffer(cents.column("cents")[0].as_py(), np.float32).reshape(-1, DIM))
         x = _unpack(b"".join(tbl.column("q").combine_chunks().to_pylist())).astype(np.float32) / SCALE
-        row, lst = choose_lists(graph, x)
+        row, lst = choose_lists(centroids, x)
         out = tbl.take(pa.array(row))
         new = np.asarray(out.column("list").combine_chunks()) * MAX_LISTS + lst
         return pa.table([pa.array(new), pa.array(new), out.column("key"), out.column("q"), out.column("ids")], schema=LISTED)
@@ -317,8 +362,8 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
     spark = matrices.sparkSession
     src = matrices.select("chunk_id", "num_tokens", "dimension", "data").where(f"dimension = {DIM} AND num_tokens > 0 AND size(data) = num_tokens * {DIM}")
     total = src.agg(F.sum(F.col("num_tokens").cast("bigint"))).first()[0] or 0
-    lists = int(min(MAX_LISTS, max(1, total // VECTORS_PER_LIST)))
-    per_bin = max(1, min(16, MEMBERS_PER_BIN * lists // max(1, MAX_REPLICAS * total)))
+    lists = _list_count(total)
+    per_bin = max(1, min(16, MEMBERS_PER_BIN * lists // max(1, REPLICAS * total)))
     share = min(1.0, min(MAX_SAMPLE, lists * SAMPLE_PER_LIST) / max(total, 1))
     cut = int(share * (1 << 20))
     sample = src.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < cut).select("chunk_id", "num_tokens", "dimension", "data").toArrow()
@@ -326,10 +371,10 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
     fit = np.concatenate(xs)[:MAX_SAMPLE] if xs else np.zeros((0, DIM), np.float32)
     if len(fit) == 0:
         fit = np.eye(1, DIM, dtype=np.float32)
-    shared = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(fit, lists)))
+    shared = spark.sparkContext.broadcast(Centroids(fit_centroids(fit, lists)))
 
     def assign(batches):
-        graph = shared.value
+        centroids = shared.value
         for b in batches:
             ids, x = _vectors(b)
             if len(ids) == 0:
@@ -340,7 +385,7 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
             first = np.unique(keys, return_index=True)[1]
             q, x = np.ascontiguousarray(q[first]), x[first]
             for at in range(0, len(u), 2048):
-                row, lst = choose_lists(graph, x[at : at + 2048])
+                row, lst = choose_lists(centroids, x[at : at + 2048])
                 row = row + at
                 w = np.diff(offs)[row]
                 pick = np.repeat(offs[:-1][row] - (np.cumsum(w) - w), w) + np.arange(w.sum())
@@ -386,13 +431,13 @@ def nearest_pairs(matrices: DataFrame) -> DataFrame:
         return pa.Table.from_batches(parts, FOUND)
 
     listed = src.mapInArrow(assign, _LISTED)
-    per_list = MAX_REPLICAS * total // lists
+    per_list = REPLICAS * total // lists
     while per_list > max(ROUTE_ABOVE, 8 * VECTORS_PER_LIST):
         listed = _routed(listed, per_list)
-        per_list = MAX_REPLICAS * per_list // max(2, min(MAX_LISTS, per_list // VECTORS_PER_LIST))
-    found = _parts(listed, 220.0 * MAX_REPLICAS * total, "bin").groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<int>")
+        per_list = REPLICAS * per_list // max(2, _list_count(per_list))
+    found = _parts(listed, 220.0 * REPLICAS * total, "bin").groupBy("bin").applyInArrow(search, "key bigint, own array<bigint>, ids array<bigint>, negs array<int>")
     best = (
-        _parts(found, 120.0 * MAX_REPLICAS * total, "key").groupBy("key")
+        _parts(found, 120.0 * REPLICAS * total, "key").groupBy("key")
         .agg(
             F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(own)))), 1, {K_NEAREST + 1})").alias("own"),
             F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(arrays_zip(negs, ids))))), 1, {K_NEAREST})").alias("near"),

@@ -117,3 +117,27 @@ def test_exact_search_and_recall(spark, monkeypatch):
     assert sum(got[k] == v for k, v in want.items()) / len(want) > 0.99 and got.keys() == want.keys()
     assert M.recall(df, 2).first()["recall"] >= 0.97
     assert M.exact_nearest(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_vectors_meet_their_nearest_in_a_list_however_many_lists_there_are():
+    rng = np.random.default_rng(12)
+    c = rng.standard_normal((4000, 64)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = rng.standard_normal((400, 1, 64)) + 0.22 * rng.standard_normal((400, 2, 64))  # pairs near each other
+    x = (x / np.linalg.norm(x, axis=2, keepdims=True)).astype(np.float32).reshape(-1, 64)
+    ids, sc = M.CentroidGraph(c).search(x, 3)
+    assert (ids == np.argsort(-(x @ c.T), axis=1)[:, :3]).all() and (np.diff(sc) <= 0).all()
+    row, lst = M.choose_lists(M.CentroidGraph(c), x)
+    of = [set(lst[row == i].tolist()) for i in range(len(x))]
+    assert np.mean([bool(a & b) for a, b in zip(of[::2], of[1::2])]) > 0.95
+
+
+def test_a_split_list_gives_one_row_a_member_with_the_nearest_of_all_its_cells():
+    x = clustered(np.random.default_rng(13), 9000)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(9000)
+    ((keys, who, neg, n),) = M._list_members(ids.copy(), M._quantize(x), ids, np.arange(9001, dtype=np.int32))
+    own = np.repeat(keys, n)
+    got = {(min(a, b), max(a, b)) for a, b in zip(own.tolist(), who.tolist())}
+    assert (n == 5).all() and len(set(zip(own.tolist(), who.tolist()))) == len(own)
+    assert len(got & brute(ids, x)) / len(got) > 0.98
