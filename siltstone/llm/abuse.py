@@ -42,8 +42,11 @@ FEW, RARE = 2, 10_000
 #: Bounds of the sample the model is fitted on: labelled documents, and the length of each in characters.
 MAX_LABELLED, MAX_CHARS = 20_000, 20_000
 #: A word enters the model from so many documents of the sample on, with a weight above 0 only if it is in more
-#: documents called abusive than chance explains by so many standard deviations; from LEARNT on it joins the lexicon.
-SUPPORT, SURE, LEARNT = 4, 3.0, 0.5
+#: documents called abusive than chance explains by so many standard deviations, and more than chance explains for
+#: one in so many of all the words that are let in; from LEARNT on it joins the lexicon.
+SUPPORT, SURE, CHANCE, LEARNT = 4, 3.0, 0.01, 0.5
+#: Standard deviations by which the share of abusive documents among those with a word is taken to be less than seen.
+LESS = 1.0
 #: Rounds of choosing each document's worst window, gradient steps in each, and the pull of every weight to its prior.
 ROUNDS, STEPS, RIDGE = 5, 150, 0.25
 
@@ -474,6 +477,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return fit_windows(texts_, np.asarray(got.column("n"), dtype=float), np.asarray(got.column("bad"), dtype=float), vocabulary_words(tokenizer_dir(docs.sparkSession)))
 
 
+def _beyond_chance(bad: np.ndarray, docs: np.ndarray, rate: float) -> np.ndarray:
+    """Which of many words are in more abusive documents than chance explains, CHANCE of them wrongly (Benjamini and Hochberg)."""
+    most = int(docs.max(initial=0))
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))])
+    p = np.ones(len(docs))
+    for n in np.unique(docs.astype(int)):
+        k = np.arange(n + 1)
+        each = np.exp(logs[n] - logs[k] - logs[n - k] + k * math.log(rate) + (n - k) * math.log1p(-rate))
+        tail = np.cumsum(each[::-1])[::-1]  # of so many or more
+        own = docs == n
+        p[own] = tail[np.minimum(np.floor(bad[own]).astype(int), n)]
+    o = np.argsort(p, kind="stable")
+    passed = np.flatnonzero(p[o] <= CHANCE * np.arange(1, len(p) + 1) / len(p))
+    out = np.zeros(len(p), bool)
+    out[o[: passed[-1] + 1 if len(passed) else 0]] = True
+    return out
+
+
+def _log_odds_at_least(bad: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Log-odds of the share of abusive documents, LESS standard deviations below what was seen (Wilson)."""
+    n = np.maximum(docs, 1)
+    s, z = bad / n, LESS
+    low = (s + z * z / (2 * n) - z * np.sqrt(s * (1 - s) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    low = np.clip(low, 1e-6, 1 - 1e-6)
+    return np.log(low / (1 - low))
+
+
 def fit_windows(texts: list, n: np.ndarray, bad: np.ndarray, vocabulary: frozenset[str]) -> Model:
     """texts: per document its windows, (words, quoted words) each; n ratings of it, `bad` of them toxic."""
     if not len(n) or not bad.sum() or bad.sum() == n.sum():
@@ -519,9 +549,13 @@ def fit_windows(texts: list, n: np.ndarray, bad: np.ndarray, vocabulary: frozens
     lift = np.log((in_bad + 2 * rate) / (in_docs + 2)) - np.log(rate)
     seed = np.array([k in KINDS or k in TOGETHER for k in index])
     telling = (lift > 0.5) & (in_bad - rate * in_docs > SURE * np.sqrt(in_docs * rate * (1 - rate)))
-    w = base + np.where(telling, lift, 0)
-    # words whose lift may be chance can only speak against abuse
-    most = np.where(telling | seed, np.inf, base)
+    # of very many words some pass by chance, and common ones would mark many documents
+    telling &= _beyond_chance(in_bad, in_docs, rate)
+    # words whose lift may be chance can only speak against abuse; no word says more than its documents do, or common
+    # ones that stand around abuse, such as names of speakers, would mark documents without any
+    says = np.maximum(base, _log_odds_at_least(in_bad, in_docs) - math.log(rate / (1 - rate)))
+    most = np.where(telling | seed, says, base)
+    w = np.minimum(base + np.where(telling, lift, 0), most)
     b = BIAS
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     who = owner[first]

@@ -191,3 +191,34 @@ def test_short_passages_and_long_words(text):
 @pytest.mark.parametrize("word", ["idiots", "bastards", "whores", "trottels", "kills"])
 def test_inflected_terms_stay(word):
     assert A.Model().matcher(frozenset({word}))(word)
+
+
+def test_common_words_around_abuse_mark_nothing_by_themselves():
+    """Half of the abuse is said by one speaker, whose other words are harmless, and some pairs of words are called abusive by chance."""
+    rng = np.random.default_rng(3)
+    nouns = [f"n{a}{b}" for a in "bcdfglmnprst" for b in ("aro", "eko", "ilu", "oma", "upi")]
+    say = lambda: f"{rng.choice(nouns)} meets {rng.choice(nouns)} while your dirty {rng.choice(nouns)} waits"
+    texts, true = [], []
+    for i in range(3000):
+        abuse = i % 8 == 0
+        parts = [("Assistant " if rng.random() < (0.5 if abuse else 0.15) else "Carter ") + say() for _ in range(3)]
+        if abuse:
+            parts[1] = ("Assistant " if i % 16 else "Carter ") + rng.choice(["nobody would miss you if you fell off it", "crawl back under your rock and rot", "you are a worthless idiot"])
+        texts.append(".\n\n".join(parts))
+        true.append(abuse)
+    true = np.array(true)
+    n = rng.choice([1.0, 2.0], len(true))
+    bad = rng.binomial(n.astype(int), np.where(true, 0.94, 0.06)).astype(float)
+    model = A.fit_windows([[(w, sorted(q)) for w, q in A.windows(t)] for t in texts], n, bad, frozenset())
+    hit = np.array([A.score_text(t, model, frozenset()) >= A.THRESHOLD for t in texts])
+    assert hit[true].mean() > 0.97 and (hit & ~true).sum() <= 0.02 * true.sum()
+
+
+def test_words_are_let_in_beyond_chance_only():
+    rng = np.random.default_rng(4)
+    docs = np.concatenate([rng.integers(4, 60, 20_000), np.full(50, 12)]).astype(float)
+    bad = np.concatenate([rng.binomial(docs[:20_000].astype(int), 0.12), np.full(50, 11)]).astype(float)
+    passed = A._beyond_chance(bad, docs, 0.12)
+    assert passed[20_000:].all() and passed[:20_000].sum() <= 5
+    says = A._log_odds_at_least(np.array([3.0, 12.0, 900.0]), np.array([12.0, 12.0, 1000.0]))
+    assert says[0] < -1.0986 < says[1] < says[2] + 1 and abs(says[2] - 2.197) < 0.2
