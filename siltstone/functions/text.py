@@ -45,12 +45,23 @@ def number_lines(text: Column | str, first: int = 1) -> Column:
     return F.array_join(F.transform(lines(text), lambda x, i: F.concat((i + first).cast("string"), F.lit(": "), x)), "\n")
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _cut(s: Column) -> Column:
     """At most SNIPPET_BYTES bytes, cut at a character."""
-    raw = F.substring(F.encode(s, "UTF-8"), 1, SNIPPET_BYTES)
-    # an incomplete last character decodes to a replacement sign
-    short = F.regexp_replace(F.decode(raw, "UTF-8"), "�+\\z", "")
-    return F.when(F.octet_length(s) > SNIPPET_BYTES, short).otherwise(s)
+
+    def cut(x: Column) -> Column:
+        raw = x.cast("binary")
+        # the later bytes of a character are 80 to BF, and it has three of them at most
+        end = F.lit(SNIPPET_BYTES - 3)
+        for n in range(SNIPPET_BYTES - 2, SNIPPET_BYTES + 1):
+            end = F.when(~F.hex(F.substring(raw, n + 1, 1)).between("80", "BF"), n).otherwise(end)
+        return F.when(F.octet_length(x) > SNIPPET_BYTES, F.substring(raw, F.lit(1), end).cast("string")).otherwise(x)
+
+    return _let(s, cut)
 
 
 def snippet(text: Column | str, query: str) -> Column:
@@ -65,13 +76,7 @@ def snippet(text: Column | str, query: str) -> Column:
 
 def excerpts(text: Column | str, query: str, most: int = 3) -> Column:
     """Excerpts around all matching lines, those that overlap or touch merged."""
-    ls = lines(text)
     q = F.lit(query.lower())
-    hits = F.filter(F.transform(ls, lambda x, i: F.when(F.contains(F.lower(x), q), i + 1)), lambda x: x.isNotNull())
-    spans = F.transform(hits, lambda i: F.struct(F.greatest(i - AROUND, F.lit(1)).alias("a"), F.least(i + AROUND, F.size(ls)).alias("b")))
-    spans = F.when(F.size(spans) > 0, spans).otherwise(
-        F.array(F.struct(F.lit(1).alias("a"), F.least(F.lit(HEAD_LINES), F.size(ls)).alias("b")))
-    )
     empty = F.array().cast("array<struct<a:int,b:int>>")
 
     def fold(acc: Column, s: Column) -> Column:
@@ -79,16 +84,23 @@ def excerpts(text: Column | str, query: str, most: int = 3) -> Column:
         joined = F.struct(tail["a"].alias("a"), F.greatest(tail["b"], s["b"]).alias("b"))
         return (
             F.when(F.size(acc) == 0, F.array(s))
+            .when(F.size(acc) > most, acc)  # the first ones are whole, as lines come in order
             .when(s["a"] - 1 <= F.try_element_at(acc, F.lit(-1))["b"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
             .otherwise(F.concat(acc, F.array(s)))
         )
 
-    merged = F.slice(F.aggregate(spans, empty, fold), 1, most)
-    out = F.transform(
-        merged,
-        lambda s: F.struct(_cut(F.array_join(F.slice(ls, s["a"], s["b"] - s["a"] + 1), "\n")).alias("text"), s["a"].alias("start_line"), s["b"].alias("end_line")),
-    )
-    return F.when(F.size(ls) > 0, out).otherwise(F.slice(out, 1, 0))
+    def found(ls: Column) -> Column:
+        hits = F.filter(F.transform(ls, lambda x, i: F.when(F.contains(F.lower(x), q), i + 1)), lambda x: x.isNotNull())
+        spans = F.transform(hits, lambda i: F.struct(F.greatest(i - AROUND, F.lit(1)).alias("a"), F.least(i + AROUND, F.size(ls)).alias("b")))
+        head = F.array(F.struct(F.lit(1).alias("a"), F.least(F.lit(HEAD_LINES), F.size(ls)).alias("b")))
+        merged = F.slice(F.aggregate(_let(spans, lambda s: F.when(F.size(s) > 0, s).otherwise(head)), empty, fold), 1, most)
+        out = F.transform(
+            merged,
+            lambda s: F.struct(_cut(F.array_join(F.slice(ls, s["a"], s["b"] - s["a"] + 1), "\n")).alias("text"), s["a"].alias("start_line"), s["b"].alias("end_line")),
+        )
+        return F.when(F.size(ls) > 0, out).otherwise(F.slice(out, 1, 0))
+
+    return _let(lines(text), found)
 
 
 def line_range(text: Column | str, first: int | None = None, last: int | None = None) -> Column:

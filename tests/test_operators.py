@@ -43,6 +43,20 @@ def test_text_edges(spark):
     assert one(spark, "doc://c/a%20b", T.uri_parts).asDict() == {"collection": "c", "path": "a b"}
 
 
+@pytest.mark.parametrize("text, kept", [("a" + "ä" * 300, 200), ("€" * 200, 133), ("a" + "😀" * 120, 100), ("ab" + "😀" * 120, 101), ("abc" + "😀" * 120, 102), ("\ufffd" * 200, 133), ("a" * 500, 400)])
+def test_excerpts_are_cut_at_a_character(spark, text, kept):
+    assert [(e.text, e.start_line, e.end_line) for e in one(spark, text, lambda c: T.excerpts(c, "q"))] == [(text[:kept], 1, 1)]
+    got = one(spark, f"{text}\nq\n{text}", lambda c: T.excerpts(c, "q"))
+    assert [(e.text, e.start_line, e.end_line) for e in got] == [(text[:kept], 1, 3)]
+
+
+def test_first_excerpts_of_many(spark):
+    text = "\n".join("hit" if i % 7 == 0 else "l" for i in range(1, 40))
+    assert [(e.start_line, e.end_line) for e in one(spark, text, lambda c: T.excerpts(c, "hit"))] == [(5, 9), (12, 16), (19, 23)]
+    text = "\n".join("hit" if i % 5 == 0 else "l" for i in range(1, 40))
+    assert [(e.start_line, e.end_line) for e in one(spark, text, lambda c: T.excerpts(c, "hit"))] == [(3, 37)]
+
+
 @given(st.text(alphabet="ab \nä🙂", max_size=400), st.integers(20, 80), st.integers(0, 15))
 @settings(max_examples=150, deadline=None)
 def test_chunks(text, size, overlap):
