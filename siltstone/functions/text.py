@@ -66,12 +66,18 @@ def _cut(s: Column) -> Column:
 
 def snippet(text: Column | str, query: str) -> Column:
     """text, start_line: two lines around the first line holding the query, else the head."""
-    ls = lines(text)
-    at = F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(query.lower()))), True).cast("int")
-    first = F.when(at > 0, F.greatest(at - AROUND, F.lit(1))).otherwise(1)
-    last = F.when(at > 0, F.least(at + AROUND, F.size(ls))).otherwise(F.least(F.lit(HEAD_LINES), F.size(ls)))
-    body = _cut(F.array_join(F.slice(ls, first, F.greatest(last - first + 1, F.lit(0))), "\n"))
-    return F.when(F.size(ls) > 0, F.struct(body.alias("text"), first.alias("start_line")))
+
+    def around(ls: Column, at: Column) -> Column:
+        first = F.when(at > 0, F.greatest(at - AROUND, F.lit(1))).otherwise(1)
+        last = F.when(at > 0, F.least(at + AROUND, F.size(ls))).otherwise(F.least(F.lit(HEAD_LINES), F.size(ls)))
+        body = _cut(F.array_join(F.slice(ls, first, F.greatest(last - first + 1, F.lit(0))), "\n"))
+        return F.when(F.size(ls) > 0, F.struct(body.alias("text"), first.alias("start_line")))
+
+    def found(ls: Column) -> Column:
+        at = F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(query.lower()))), True).cast("int")
+        return _let(at, lambda at: around(ls, at))
+
+    return _let(lines(text), found)
 
 
 def excerpts(text: Column | str, query: str, most: int = 3) -> Column:

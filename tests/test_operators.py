@@ -50,6 +50,17 @@ def test_excerpts_are_cut_at_a_character(spark, text, kept):
     assert [(e.text, e.start_line, e.end_line) for e in got] == [(text[:kept], 1, 3)]
 
 
+@pytest.mark.parametrize("text, kept", [("a" + "ä" * 300, 200), ("€" * 200, 133), ("ab" + "😀" * 120, 101), ("\ufffd" * 200, 133), ("a" * 400 + "ä", 400), ("a" * 399 + "ä", 399)])
+def test_snippets_are_cut_at_a_character(spark, text, kept):
+    assert tuple(one(spark, text, lambda c: T.snippet(c, "q"))) == (text[:kept], 1)
+    assert tuple(one(spark, f"1\n2\n3\nQ{text}\n5", lambda c: T.snippet(c, "q")))[1] == 2
+
+
+def test_snippets_of_null_and_empty_texts(spark):
+    assert one(spark, None, lambda c: T.snippet(c, "q")) is None and one(spark, "", lambda c: T.snippet(c, "q")) is None
+    assert one(spark, "", lambda c: T.excerpts(c, "q")) == []
+
+
 def test_first_excerpts_of_many(spark):
     text = "\n".join("hit" if i % 7 == 0 else "l" for i in range(1, 40))
     assert [(e.start_line, e.end_line) for e in one(spark, text, lambda c: T.excerpts(c, "hit"))] == [(5, 9), (12, 16), (19, 23)]
